@@ -1,11 +1,18 @@
 """The queries of this subpackage and, where SQL can express them, what they must agree with."""
 
 from .exact_dedup import OP1_SQL, op1
+from .mixing import OP3_SQL, op3
+from .packing import op7
+from .secrets import op10
 
 QUERIES = {
     "op1_exact_dedup": op1,
+    "op3_mixing": op3,
+    "op7_packing": op7,
+    "op10_secrets": op10,
 }
 
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_mixing": OP3_SQL,
 }
