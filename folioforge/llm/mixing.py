@@ -111,10 +111,10 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
      t AS (SELECT *, CASE WHEN f IS NULL THEN cap ELSE least(cap, weight * f) END AS target FROM (
            SELECT *, (SELECT level FROM l WHERE NOT cap <= weight * level ORDER BY cap / weight, source IS NULL, source LIMIT 1) AS f FROM l)),
      a AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.turn, CAST(floor(t.target + 0.5) AS BIGINT) AS wanted,
-                  CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at
+                  CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-     b AS (SELECT *, greatest(0, least(size, wanted - at)) + greatest(0, least(size, wanted - at - source_size)) + greatest(0, least(size, wanted - at - 2 * source_size)) AS taken,
-                  least(1.0::DOUBLE, (at + 0.5::DOUBLE) / wanted) AS share FROM a)
+     b AS (SELECT *, greatest(0, least(size, wanted - pos)) + greatest(0, least(size, wanted - pos - source_size)) + greatest(0, least(size, wanted - pos - 2 * source_size)) AS taken,
+                  least(1.0::DOUBLE, (pos + 0.5::DOUBLE) / wanted) AS share FROM a)
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
        CASE WHEN taken <= 0 THEN NULL
             WHEN turn = 0 THEN (sqrt(1.5::DOUBLE * 1.5 + 2.0::DOUBLE * -1.0 * share) - 1.5) / -1.0
