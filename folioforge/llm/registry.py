@@ -4,10 +4,12 @@ from .exact_dedup import OP1_SQL, op1
 from .mixing import OP3_SQL, op3
 from .packing import op7
 from .secrets import op10
+from .toxicity import op5
 
 QUERIES = {
     "op1_exact_dedup": op1,
     "op3_mixing": op3,
+    "op5_toxicity": op5,
     "op7_packing": op7,
     "op10_secrets": op10,
 }
