@@ -2,6 +2,7 @@
 
 from .exact_dedup import OP1_SQL, op1
 from .mixing import OP3_SQL, op3
+from .near_dup import op8
 from .packing import op7
 from .secrets import op10
 from .topk import OP2_SQL, op2
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mixing": op3,
     "op5_toxicity": op5,
     "op7_packing": op7,
+    "op8_near_dup": op8,
     "op9_warc": op9,
     "op10_secrets": op10,
 }
