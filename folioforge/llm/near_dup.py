@@ -249,7 +249,9 @@ def similarities(sets: list[np.ndarray], weights: list[np.ndarray | None], colum
         m[owner[i:j], number[i:j] - a] = np.sqrt(weight[i:j])
         both += m @ m.T
     union = size[:, None] + size[None, :] - both
-    return np.where(union > 0, both / np.where(union > 0, union, 1), 1.0)
+    found = np.where(union > 0, both / np.where(union > 0, union, 1), 1.0)
+    np.fill_diagonal(found, 1.0)
+    return found
 
 
 def _verify(key: tuple, rows: pa.Table) -> pa.Table:
