@@ -5,6 +5,7 @@ from .mixing import OP3_SQL, op3
 from .near_dup import op8
 from .packing import op7
 from .secrets import op10
+from .suffix_dedup import op6
 from .topk import OP2_SQL, op2
 from .toxicity import op5
 from .warc import OP9_SQL, op9
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_topk": op2,
     "op3_mixing": op3,
     "op5_toxicity": op5,
+    "op6_suffix_dedup": op6,
     "op7_packing": op7,
     "op8_near_dup": op8,
     "op9_warc": op9,
