@@ -90,28 +90,39 @@ class Roll:
             self.n, self.out = self.n + 1, None
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", smallest: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, url, html, refers_to): refers_to is the id of the response that a revisit repeats, else null."""
+def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", smallest: int = MIN_REVISIT) -> tuple[DataFrame, DataFrame]:
+    """The pages as (page_id, url, html), and for those that revisit another (page_id, sha256, refers_to), without payloads."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("_digest", F.when(F.octet_length("html") >= smallest, F.sha2(F.col("html").cast("binary"), 256)))
-    kept = p.where(F.col("_digest").isNotNull()).groupBy(F.col("_digest").alias("_d")).agg(F.max("page_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return p.join(kept, F.col("_digest") == F.col("_d"), "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("_keep"), F.col("_keep")).alias("refers_to"))
+    digests = p.where(F.octet_length("html") >= smallest).select("page_id", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("sha256"))
+    kept = digests.groupBy(F.col("sha256").alias("_d")).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    found = digests.join(kept, F.col("sha256") == F.col("_d")).where("page_id < refers_to")
+    return p, found.select("page_id", "sha256", "refers_to").distinct()
 
 
-def write_warc(rows: DataFrame, uri: str, roll_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
-    """Writes rows (page_id, url, html, refers_to) and returns the manifest, which stands beside the files as a table."""
+def write_warc(pages: DataFrame, repeats: DataFrame, uri: str, roll_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
+    """Writes pages (page_id, url, html), those in repeats (page_id, sha256, refers_to) as revisits, and returns the
+    manifest, which stands beside the files as a table. Payloads are shuffled once: what a page repeats is sorted in
+    just before it."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         roll = Roll(uri, f"part-{task.partitionId():05d}", f"{task.stageId()}-{task.taskAttemptId()}", roll_bytes)
+        of, refers = None, {}
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                roll.add(member(record(page_id, url, html.encode(), refers_to), level))
+            for page_id, url, html, sha256, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha256", "refers_to")), strict=True):
+                if page_id != of:
+                    of, refers = page_id, {}
+                if sha256 is not None:
+                    refers[sha256] = refers_to
+                else:
+                    payload = html.encode()
+                    roll.add(member(record(page_id, url, payload, refers.get(hashlib.sha256(payload).digest()) if refers else None), level))
         roll.close()
         columns = [list(x) for x in zip(*roll.rows, strict=True)] or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    ordered = rows.repartitionByRange("page_id", "url").sortWithinPartitions("page_id", "url", F.length("html"))
+    rows = pages.unionByName(repeats, allowMissingColumns=True)
+    ordered = rows.repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("sha256").isNull(), "url", F.length("html"))
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{uri}/_manifest")
     return rows.sparkSession.read.schema(MANIFEST).parquet(f"{uri}/_manifest")
 
@@ -177,12 +188,12 @@ def read_warc(spark: SparkSession, uri: str, payloads: bool = True) -> DataFrame
                 if rows:
                     yield batch_of(rows)
 
-    return files.select("file", "records").repartition("file").mapInArrow(read, schema)
+    return files.select("file", "records").repartition(max(1, files.count())).mapInArrow(read, schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(revisits(table(spark, sf_dir, "pages")), uri)
+    write_warc(*revisits(table(spark, sf_dir, "pages")), uri)
     return read_warc(spark, uri, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
