@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, what they must agree with."""
 
+from .cotrain import op4
 from .exact_dedup import OP1_SQL, op1
 from .mixing import OP3_SQL, op3
 from .near_dup import op8
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_exact_dedup": op1,
     "op2_topk": op2,
     "op3_mixing": op3,
+    "op4_cotrain": op4,
     "op5_toxicity": op5,
     "op6_suffix_dedup": op6,
     "op7_packing": op7,
