@@ -328,7 +328,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = written(signed.where("id IS NOT NULL").groupBy("words1", "words2").agg(F.min("id").alias("id"), F.first("halves").alias("halves")), "texts")
     lists = written(candidate_lists(same.select("id", "halves")).select(F.xxhash64("ids").alias("list"), "ids"), "lists")
     asked = written(lists.select("list", F.explode("ids").alias("id")), "asked")
-    needed = asked.select("id").distinct()
+    needed = asked.select("id").distinct().hint("merge")  # more than may be broadcast but for toys: one plan at all sizes
     one = docs.join(needed, "id").mapInArrow(_reader(idf), "id long, elements binary, weights binary")
     one = written(one, "elements").dropDuplicates(["id"])
     links = written(asked.join(one, "id").groupBy("list").applyInArrow(_verify, "a long, b long"), "links")
