@@ -304,14 +304,14 @@ def candidate_lists(signed: DataFrame) -> DataFrame:
     large = members.where(F.col("n") > MOST)
     if large.isEmpty():
         return lists[0].distinct()
-    often = written(large.groupBy("id").agg(F.count(F.lit(1)).alias("often")), "often")
-    large = written(large.join(often, "id"), "large")
+    often = large.groupBy("id").agg(F.count(F.lit(1)).alias("often"))
+    about = written(often.join(signed.select("id", "halves"), "id"), "often")
+    large = written(large.join(about, "id"), "large")
     lists.append(_chunked(large))
     halves = SAMPLES // 2
-    other = F.explode(F.array(*map(F.lit, range(WAYS))))
-    longer = large.select("id", "band", "key", "often", other.alias("way")).join(signed.select("id", "halves"), "id")
-    extra = F.element_at("halves", ((F.col("band") * (halves // BANDS) + halves // BANDS + F.col("way") * 3) % halves + 1).cast("int"))
-    longer = longer.select((F.col("band") + BANDS * (1 + F.col("way"))).alias("band"), F.xxhash64("key", extra).alias("key"), "id", "often")
+    extra = lambda way: F.element_at("halves", ((F.col("band") * (halves // BANDS) + halves // BANDS + way * 3) % halves + 1).cast("int"))
+    ways = F.array(*(F.struct((F.col("band") + BANDS * (1 + way)).alias("band"), F.xxhash64("key", extra(way)).alias("key")) for way in range(WAYS)))
+    longer = large.select("id", "often", F.explode(ways).alias("b")).select(F.col("b.band").alias("band"), F.col("b.key").alias("key"), "id", "often")
     again = written(_buckets(longer, "buckets"), "members")
     lists += [_lists(again.where(F.col("n") <= MOST)), _chunked(again.where(F.col("n") > MOST))]
     every = lists[0]
