@@ -3,7 +3,8 @@
 Shingles are five words in lower case; the i-th occurrence of a shingle in a text is an element of its own, so that
 the weighted Jaccard similarity over elements is the one over term frequency times inverse document frequency. The
 inverse document frequency is 1 up to a share COMMON of all documents and falls with the logarithm beyond, to FLOOR:
-lines that stand in many documents count for less, while large groups of copies still recognise each other. Shingles
+lines that stand in many documents count for less, while the copies of a group that is itself a large part of all
+documents still recognise each other (their common shingles are common by that alone). Shingles
 beyond the share are found by Misra-Gries summaries of all documents and counted again exactly; there are at most the
 mean number of elements divided by COMMON of them, so they may be broadcast.
 
@@ -38,7 +39,7 @@ from .words import chunks, hashed_words, shingles
 
 WIDTH, LEAST = 5, 0.8
 SAMPLES, BANDS = 48, 12
-COMMON, FLOOR = 0.05, 0.75
+COMMON, FLOOR = 0.05, 0.9
 MOST, WAYS = 128, 4
 COUNTERS = 1 << 16
 PART = np.uint64((1 << 48) - 1)
