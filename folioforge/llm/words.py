@@ -73,13 +73,12 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.n
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     size = np.diff(first)[of]
     h = np.zeros(n, np.uint64)
+    step = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     for i in range(width):
-        part = words[i:] * ROLL[i % 5] if i else words * ROLL[0]
-        if i:
-            part = np.where(of[i:] == of[:-i], part, np.uint64(i))
-        h[: n - i] = (h[: n - i] ^ (h[: n - i] >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + part
-        if i:
-            h[n - i :] = (h[n - i :] ^ (h[n - i :] >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + np.uint64(i)
+        k = max(0, n - i)  # words that have an i-th after them
+        part = words[i:] * ROLL[i % 5]
+        h[:k] = step(h[:k]) + np.where(of[i:] == of[:k], part, np.uint64(i))
+        h[k:] = step(h[k:]) + np.uint64(i)
     at = np.arange(n) - first[of]
     whole = (at + width <= size) | (at == 0) & (size < width)
     return mix64(h[whole]), of[whole]
