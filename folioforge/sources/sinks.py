@@ -22,7 +22,7 @@ def joined_text(documents: DataFrame, *group: str) -> DataFrame:
 
 
 @F.udf(BinaryType())
-def _zipped(files: list) -> bytes:
+def _zipped(files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for f in files:
