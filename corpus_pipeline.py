@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    gone = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_id")) & (digest(text_of()) == F.col("_sha256")), "left_anti")
+    gone = exact_dedup(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("sha256")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id) & (digest(text_of()) == gone.sha256), "left_anti")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

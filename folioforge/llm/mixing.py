@@ -89,10 +89,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents themselves: each as often as the mix uses it (the last time in part counts from half on), in training order."""
     plan = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_n"), F.min("first_position").alias("_position"))
     plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_n", "_position")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (word_count(text_of(text_col)) == F.col("_size"))
-    picked = docs.join(plan, same)
-    copies = picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return copies.repartitionByRange("_position", id_col, "_copy").sortWithinPartitions("_position", id_col, "_copy").select(*[docs[c] for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("_doc"))  # so that no column of the documents clashes with the plan's
+    own = lambda c: F.col("_doc")[c]
+    same = own(id_col).eqNullSafe(F.col("_id")) & own(source_col).eqNullSafe(F.col("_source")) & (word_count(F.coalesce(own(text_col), F.lit(""))) == F.col("_size"))
+    copies = whole.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    ordered = copies.repartitionByRange("_position", "_id", "_copy").sortWithinPartitions("_position", "_id", "_copy")
+    return ordered.select(*(own(c).alias(c) for c in docs.columns))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
