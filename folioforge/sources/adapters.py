@@ -45,7 +45,7 @@ def page_layouts(files: DataFrame, reader: Callable[[str, bytes], list[dict]] |
                     rows.append({"doc_id": doc, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(rows, columns=["doc_id", *names, "error"])
 
-    return files.select(T.file_name(F.col("path")), T.suffix(F.col("path")), "content").mapInPandas(read, PAGE_LAYOUT)
+    return files.select(T.file_name(F.col("path")).alias("doc"), T.suffix(F.col("path")).alias("suffix"), "content").mapInPandas(read, PAGE_LAYOUT)
 
 
 def image_layout(files: DataFrame, width: float = 600.0, height: float = 840.0) -> DataFrame:

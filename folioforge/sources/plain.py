@@ -14,6 +14,6 @@ def decoded(content: Column) -> Column:
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, raw) of the text files under a path."""
+    """(doc, raw) of the text files under a path. Files of no bytes give no rows: Spark has nothing to read in them."""
     files = spark.read.format("binaryFile").load(path)
     return files.where(T.suffix(F.col("path")).isin(".txt", ".md", ".markdown")).select(T.file_name(F.col("path")).alias("doc"), decoded(F.col("content")).alias("raw"))
