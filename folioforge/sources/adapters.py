@@ -9,8 +9,10 @@ import shutil
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
 from ..schemas import PAGE_LAYOUT
@@ -32,20 +34,18 @@ def page_layouts(files: DataFrame, reader: Callable[[str, bytes], list[dict]] |
     """files (path, content) as page_layout rows; reader gives one dict a page, with the columns from page_no on."""
     if reader is None:
         raise AdapterMissing("reading paged formats takes a reader: a callable (suffix, bytes) -> list of pages")
-    names = "page_no page_rect text blocks images drawings tables".split()
+    schema = to_arrow_schema(files.sparkSession.createDataFrame([], PAGE_LAYOUT).schema)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, suffix, content in batch.itertuples(index=False):
+            for doc, suffix, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    pages = reader(suffix, content)
-                    rows += [{"doc_id": doc, **{n: p.get(n) for n in names}, "error": p.get("error")} for p in pages] or [{"doc_id": doc, "error": "no pages"}]
+                    rows = [{**p, "doc_id": doc} for p in reader(suffix, content)] or [{"doc_id": doc, "error": "no pages"}]
                 except Exception as e:  # a file that can't be read is a row, not the end of the run
-                    rows.append({"doc_id": doc, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=["doc_id", *names, "error"])
+                    rows = [{"doc_id": doc, "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select(T.file_name(F.col("path")).alias("doc"), T.suffix(F.col("path")).alias("suffix"), "content").mapInPandas(read, PAGE_LAYOUT)
+    return files.select(T.file_name(F.col("path")).alias("doc"), T.suffix(F.col("path")).alias("suffix"), "content").mapInArrow(read, PAGE_LAYOUT)
 
 
 def image_layout(files: DataFrame, width: float = 600.0, height: float = 840.0) -> DataFrame:
