@@ -217,3 +217,20 @@ def sql_stripped(pages: str, keys: str) -> str:
 
 def sql_reduced(pages: str) -> str:
     return sql_stripped(sql_cleaned(pages), sql_boilerplate(sql_cleaned(pages)))
+
+
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page layouts: every ninth page is a scan, every fourth has a picture of a good part of the page; every 25th failed."""
+    page, part = G.rect(F.lit(0), F.lit(0), F.lit(600), F.lit(840)), G.rect(F.lit(30), F.lit(30), F.lit(400), F.lit(400))
+    n = F.col("page_no")
+    images = F.when(n % 9 == 0, F.array(page)).when(n % 4 == 0, F.array(part)).otherwise(F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+    empty = lambda kind: F.array().cast(kind)
+    rect = "x0:double,y0:double,x1:double,y1:double"
+    return furnished(spark, sf_dir).select(
+        F.col("doc").alias("doc_id"), n.cast("int").alias("page_no"), page.alias("page_rect"), F.when(n % 9 == 0, "fig 1").otherwise(F.col("raw")).alias("text"), empty(f"array<struct<{rect},text:string>>").alias("blocks"), images.alias("images"),
+        empty(f"array<struct<{rect},ops:array<string>>>").alias("drawings"), empty(f"array<struct<{rect},rows:array<array<string>>>>").alias("tables"), F.when(n % 25 == 0, "damaged").alias("error"),
+    )
+
+
+LAYOUTS = f"""SELECT doc, page_no, page_count, CASE WHEN page_no % 25 = 0 THEN '' WHEN page_no % 18 = 0 THEN 'Recognised words of this page' WHEN page_no % 9 = 0 THEN 'fig 1' ELSE raw END AS raw,
+ (page_no % 9 = 0 OR page_no % 4 = 0) AND page_no % 25 <> 0 AS visual, page_no % 9 = 0 AND page_no % 25 <> 0 AS scanned, page_no % 18 = 0 AND page_no % 25 <> 0 AS ocr FROM ({FURNISHED})"""

@@ -12,6 +12,8 @@ from ..settings import MODES, Settings
 from ..sources import sinks
 from . import inputs as I
 from .page_queries import _LABEL, _MARKED, marked
+from .reduce import reduce_bodies as run_bodies
+from .reduce import reduce_pages
 
 ALL: dict = {}
 
@@ -203,3 +205,22 @@ def stale_jobs(spark, sf_dir):
 @query(rf"SELECT name, concat('optimised_', regexp_replace(name, '(?i)\.pdf$', ''), '.md') AS delivered FROM ({I.FILES})")
 def delivery_names(spark, sf_dir):
     return I.files(spark, sf_dir).select("name", sinks.delivery_name(F.col("name")).alias("delivered"))
+
+
+_RUN = f"""SELECT r.doc, count(*) AS pages, count(*) FILTER (visual) AS images_saved, CAST(sum(length(r.raw)) AS BIGINT) AS chars_in, CAST(sum(length(text)) AS BIGINT) AS chars_out, count(*) FILTER (scanned) AS scanned_pages, count(*) FILTER (ocr) AS ocr_pages
+ FROM {I.sql_reduced(I.LAYOUTS)} r JOIN (SELECT doc, page_no AS n, visual, scanned, ocr, raw AS own FROM ({I.LAYOUTS})) f ON r.doc = f.doc AND r.page_no = f.n GROUP BY r.doc"""
+
+
+@query(_RUN)
+def reduce_layouts(spark, sf_dir):
+    """A whole run, from layouts of pages to results."""
+    pages = I.layouts(spark, sf_dir)
+    late = pages.where("page_no % 18 = 0 AND page_no % 25 <> 0").select(F.col("doc_id").alias("doc"), "page_no", F.lit("Recognised words of this page").alias("text"))
+    return reduce_pages(pages, supplied=late).results.select("doc", "pages", "images_saved", "chars_in", "chars_out", "scanned_pages", "ocr_pages")
+
+
+@query(f"""SELECT doc, concat('plain text, ~', format('{{:,}}', tokens_out), ' tokens') AS message, saving FROM (SELECT *, CASE WHEN tokens_in <= 0 THEN 0.0 ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - tokens_out::DOUBLE / tokens_in) END AS saving FROM
+ (SELECT doc, {I.sql_tokens('length(raw)')} AS tokens_in, {I.sql_tokens('length(text)')} AS tokens_out FROM (SELECT concat(doc, '.', page_no) AS doc, raw, text FROM ({I.sql_cleaned(I.DIRTY)}))))""")
+def reduce_bodies(spark, sf_dir):
+    bodies = I.dirty(spark, sf_dir).select(F.concat("doc", F.lit("."), "page_no").alias("doc"), "raw", F.lit("plain text").alias("note"))
+    return run_bodies(bodies).select("doc", "message", "saving")
