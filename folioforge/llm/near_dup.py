@@ -1,8 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, verified by weighted Jaccard similarity.
 
-Shingles are five words in lower case; the i-th occurrence of a shingle in a text is an element of its own, so that
-the weighted Jaccard similarity over elements is the one over term frequency times inverse document frequency. The
-inverse document frequency is 1 up to a share COMMON of all documents and falls with the logarithm beyond, to FLOOR:
+Shingles are five words in lower case. Their term frequency counts in octaves, as 1 + floor(log2(occurrences)): a line
+that fills most of a text by being repeated does not make it a copy of all others that repeat the line. The first,
+second, fourth, eighth... occurrence of a shingle in a text is an element of its own, so that the weighted Jaccard
+similarity over elements is the one over term frequency times inverse document frequency. The inverse document
+frequency is 1 up to a share COMMON of all documents and falls with the logarithm beyond, to FLOOR:
 lines that stand in many documents count for less, while the copies of a group that is itself a large part of all
 documents still recognise each other (their common shingles are common by that alone). Shingles
 beyond the share are found by Misra-Gries summaries of all documents and counted again exactly; there are at most the
@@ -87,14 +89,16 @@ def sorted_shingles(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndar
             yield len(f) - 1, key & PART, (key >> np.uint64(48)).astype(np.int64), words, f
 
 
-def elements(shingle: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Hashes of (shingle, occurrence) for shingles that are sorted within each text."""
+def elements(shingle: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For shingles that are sorted within each text, the hashes of (shingle, octave), and the shingle and text of each."""
     n = len(shingle)
     new = np.ones(n, bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (of[1:] != of[:-1])
     at = np.arange(n)
-    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
-    return mix64(shingle + occurrence.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    count = at - np.maximum.accumulate(np.where(new, at, 0)) + 1
+    octave = (count & (count - 1)) == 0
+    shingle, of, count = shingle[octave], of[octave], count[octave]
+    return mix64(shingle + (count - 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), shingle, of
 
 
 def samples(element: np.ndarray, weight: np.ndarray | None, first: np.ndarray) -> np.ndarray:
@@ -199,10 +203,11 @@ def _signer(idf: Idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                     for a, b in zip(f[:-1], f[1:], strict=True):
                         h = mix64(words[a:b] * np.uint64(k) + place[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
                         out.append(int(h.view(np.int64)))
+                element, shingle, of = elements(shingle, of)
                 have, first = np.unique(of, return_index=True)
                 signed: list = [[]] * n
                 if len(have):
-                    s = samples(elements(shingle, of), idf.of(shingle), first)
+                    s = samples(element, idf.of(shingle), first)
                     pair = mix64(s[:, ::2].astype(np.uint64) << np.uint64(32) | s[:, 1::2]).astype(np.uint32).view(np.int32)
                     for i, row in zip(have.tolist(), pair.tolist(), strict=True):
                         signed[i] = row
@@ -219,7 +224,8 @@ def _reader(idf: Idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             found, weights = [], []
             for n, shingle, of, *_ in sorted_shingles(batch.column("text").to_pylist()):
-                e, w = elements(shingle, of).astype(np.uint32), idf.of(shingle)
+                element, shingle, of = elements(shingle, of)
+                e, w = element.astype(np.uint32), idf.of(shingle)
                 bounds = np.searchsorted(of, np.arange(n + 1))
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     found.append(e[a:b].tobytes())

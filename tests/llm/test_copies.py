@@ -64,7 +64,8 @@ def brute_classes(rows):
     elements, words, shingles = {}, {}, {}
     for i, t in rows:
         for _, shingle, of, w, _f in N.sorted_shingles([t]):
-            elements[i], shingles[i], words[i] = N.elements(shingle, of).tolist(), shingle.tolist(), w.tobytes()
+            element, own, _ = N.elements(shingle, of)
+            elements[i], shingles[i], words[i] = element.tolist(), own.tolist(), w.tobytes()
     count = Counter(s for x in shingles.values() for s in set(x))
     weigh = lambda s: max(N.FLOOR, np.log(count[s] / len(rows)) / np.log(N.COMMON)) if count[s] > N.COMMON * len(rows) and len(rows) >= 40 else 1.0
     weight = {e: weigh(s) for i in elements for e, s in zip(elements[i], shingles[i], strict=True)}
@@ -99,6 +100,15 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert got == brute_classes([(i, t or "") for i, t in rows])
 
 
+def test_a_repeated_line_makes_no_copies(spark):
+    """Different texts filled with the same line stay apart; edited copies of such a text do not."""
+    line = prose(50, 8) + " "
+    rows = [(i, prose(60 + i, 50) + " " + line * 60 + prose(80 + i, 50)) for i in range(6)]
+    rows += [(10, edited(rows[0][1], 2, 9)), (11, "so " * 500 + prose(90, 40)), (12, "so " * 500 + prose(91, 40))]
+    got = {r.doc_id: r.class_id for r in N.classes(table(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(6)}, 10: 0, 11: 11, 12: 12} == brute_classes(rows)
+
+
 def test_near_copies_odd_rows(spark):
     got = [tuple(r) for r in N.classes(table(spark, ODD)).collect()]
     assert len(got) == len(ODD) and all(k for i, _, k in got if i is None)
