@@ -43,7 +43,8 @@ WIDTH, LEAST = 5, 0.8
 SAMPLES, BANDS = 48, 12
 COMMON, FLOOR = 0.05, 0.9
 MOST, WAYS = 128, 4
-COUNTERS = 1 << 16
+#: Counters of a summary, and shingles that wait to be merged into one.
+COUNTERS, WAITING = 1 << 16, 1 << 20
 PART = np.uint64((1 << 48) - 1)
 
 SEEDS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -155,7 +156,7 @@ def _counter(candidates: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch
                 texts, total = texts + n, total + len(found)
                 if candidates is None:
                     waiting.append(found)
-                    if sum(map(len, waiting)) > 4 << 20:
+                    if sum(map(len, waiting)) > WAITING:
                         summary = _merge(summary, *np.unique(np.concatenate(waiting), return_counts=True), COUNTERS)
                         waiting = []
                 else:
