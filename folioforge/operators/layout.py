@@ -10,16 +10,21 @@ from ..functions import text as T
 from ..settings import COVERAGE_GRID, DEFAULT, Settings
 
 
-def coverage_cells(box: Column, page: Column, settings: Settings = DEFAULT) -> Column:
-    """Cells of the grid over the page that the box covers (row * 32 + column), edges included; none if it is too small."""
+def covered(box: Column, page: Column, settings: Settings = DEFAULT) -> tuple[Column, Column, Column]:
+    """The rows of the grid over the page that the box covers (an array), its first and its last column, edges included;
+    no rows if the box is too small."""
     b, grid = G.clip(box, page), float(COVERAGE_GRID)
     width, height = page.x1 - page.x0, page.y1 - page.y0
     at = lambda v, low, size: F.least(F.lit(COVERAGE_GRID - 1), F.greatest(F.lit(0), ((v - low) / size * grid).cast("int")))
-    columns = F.sequence(at(b.x0, page.x0, width), at(b.x1, page.x0, width))
-    rows = F.sequence(at(b.y0, page.y0, height), at(b.y1, page.y0, height))
-    cells = F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: r * COVERAGE_GRID + c)))
     small = G.is_empty(b) | (G.area(b) / (width * height) < settings.min_image_fraction)
-    return F.when(~G.is_empty(page) & ~small, cells).otherwise(F.array().cast("array<int>"))
+    rows = F.when(~G.is_empty(page) & ~small, F.sequence(at(b.y0, page.y0, height), at(b.y1, page.y0, height))).otherwise(F.array().cast("array<int>"))
+    return rows, at(b.x0, page.x0, width), at(b.x1, page.x0, width)
+
+
+def coverage_cells(box: Column, page: Column, settings: Settings = DEFAULT) -> Column:
+    """Cells of the grid over the page that the box covers (row * 32 + column)."""
+    rows, first, last = covered(box, page, settings)
+    return F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(first, last), lambda c: r * COVERAGE_GRID + c)))
 
 
 def coverage(images: Column, page: Column, settings: Settings = DEFAULT) -> Column:
@@ -29,9 +34,13 @@ def coverage(images: Column, page: Column, settings: Settings = DEFAULT) -> Colu
 
 
 def coverage_of_boxes(boxes: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
-    """Coverage by page of boxes in rows (keys, box, page_rect): at most 1024 cells a page, reduced before the shuffle."""
-    cells = boxes.select(*keys, F.explode(coverage_cells(F.col("box"), F.col("page_rect"), settings)).alias("cell")).distinct()
-    return cells.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(float(COVERAGE_GRID**2))).alias("coverage"))
+    """Coverage by page of boxes in rows (keys, box, page_rect). A box gives a bitmap of columns for each row of the grid;
+    these are united before the shuffle, so that a page sends 32 rows at most from each task."""
+    rows, first, last = covered(F.col("box"), F.col("page_rect"), settings)
+    columns = F.expr("shiftleft(2L, _last) - shiftleft(1L, _first)")
+    each = boxes.select(*keys, first.alias("_first"), last.alias("_last"), F.explode(rows).alias("_row")).select(*keys, "_row", columns.alias("_columns"))
+    united = each.groupBy(*keys, "_row").agg(F.bit_or("_columns").alias("_columns"))
+    return united.groupBy(*keys).agg((F.sum(F.bit_count("_columns")) / F.lit(float(COVERAGE_GRID**2))).alias("coverage"))
 
 
 def line_like(drawings: Column) -> Column:

@@ -12,6 +12,8 @@ from ..functions import geometry as G
 from ..settings import Settings
 
 NATURAL = Settings(repeat_ratio=0.06)
+#: Ids of a slice, within which the pages of a document are numbered by one task.
+SLICE = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source")
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("doc"), F.row_number().over(w.orderBy("doc_id")).alias("page_no"), F.count(F.lit(1)).over(w).alias("page_count"), F.col("text").alias("raw"))
+    """Pages are numbered by slices of SLICE ids, so that a source with a large part of all rows is spread over tasks:
+    the slices of a source are counted and summed up, and rows are numbered within their slice only."""
+    d = table(spark, sf_dir, "documents").withColumn("_slice", F.floor(F.col("doc_id") / SLICE))
+    of = Window.partitionBy("source")
+    counts = d.groupBy("source", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(of.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = counts.select(F.col("source").alias("_source"), F.col("_slice").alias("_of"), before.alias("_before"), F.sum("_n").over(of).alias("page_count"))
+    numbered = d.withColumn("_at", F.row_number().over(Window.partitionBy("source", "_slice").orderBy("doc_id")))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("_slice").eqNullSafe(F.col("_of"))
+    return numbered.join(slices, same).select(F.col("source").alias("doc"), (F.col("_before") + F.col("_at")).cast("int").alias("page_no"), "page_count", F.col("text").alias("raw"))
 
 
 def furnished(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +75,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     x0, y0 = (p * 37) % 500, (s * 53) % 700
     x1, y1 = F.least(F.lit(600), x0 + 5 + (p * 13 + n * 71) % 300), F.least(F.lit(840), y0 + 5 + (s * 29 + n * 97) % 300)
-    some = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    some = table(spark, sf_dir, "lineitem")
     full = some.where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("page_id")).distinct()
     page = G.rect(F.lit(0), F.lit(0), F.lit(600), F.lit(840))
     return some.select(F.col("l_orderkey").alias("page_id"), G.rect(x0, y0, x1, y1).alias("box")).unionByName(full.withColumn("box", page)).withColumn("page_rect", page)
@@ -77,13 +86,13 @@ def small_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     x0, y0 = (p * 37) % 200, (s * 53) % 240
     box = G.rect(x0, y0, x0 + 5 + (p * 13 + n * 71) % 40, y0 + 5 + (s * 29 + n * 97) % 40)
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("page_id"), box.alias("box"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), box.alias("box"))
     return rows.groupBy("page_id").agg(F.collect_list("box").alias("boxes")).withColumn("page_rect", G.rect(F.lit(0), F.lit(0), F.lit(240), F.lit(280)))
 
 
 def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grid_id, rows): grids of three columns with blank and missing cells, some with a long cell."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    li = table(spark, sf_dir, "lineitem")
     c1 = F.when((F.col("l_linenumber") + F.col("l_partkey")) % 3 == 0, "").otherwise(F.col("l_returnflag"))
     c2 = F.when(F.col("l_suppkey") % 2 != 0, F.col("l_partkey").cast("string"))
     c3 = F.when(F.col("l_orderkey") % 140 == 0, F.repeat(F.lit("x|y "), F.col("l_linenumber") * 40)).otherwise(F.col("l_suppkey").cast("string"))
@@ -93,7 +102,7 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def office_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, block_no, kind, text, level, rows): a document's lines as heading, list items and body, the nations as a table at its end."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 = 0")
+    d = table(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
     kind = F.when(F.col("block_no") == 0, "heading").when(F.col("block_no") % 4 == 0, "list").otherwise("body")
     none = F.lit(None).cast("array<array<string>>")
@@ -126,7 +135,7 @@ def facts(pages: DataFrame) -> DataFrame:
 
 # The same in SQL.
 
-PAGED = "SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, count(*) OVER (PARTITION BY source) AS page_count, text AS raw FROM documents"
+PAGED = "SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_no, count(*) OVER (PARTITION BY source) AS page_count, text AS raw FROM documents"
 FURNISHED = f"SELECT doc, page_no, page_count, concat('Regional Monitor ', doc, chr(10), raw, chr(10), '2024', chr(10), 'Page ', page_no, ' of ', page_count) AS raw FROM ({PAGED})"
 DOUBLED = f"SELECT doc, page_no, page_count, concat(raw, CASE WHEN page_no % 7 = 0 AND right(doc, 1) IN ('1', '3', '5', '7', '9') THEN concat(chr(10), 'Regional Monitor ', doc) ELSE '' END) AS raw FROM ({FURNISHED})"
 _r = "raw"
@@ -138,14 +147,14 @@ NUMBERED = f"SELECT doc, page_no, page_count, concat(raw, chr(10), {_pick}) AS r
 CONVERSATIONS = "SELECT concat('conv', conv_id) AS doc, CAST(turn + 1 AS INTEGER) AS page_no, count(*) OVER (PARTITION BY conv_id) AS page_count, concat('Transcript of a talk', chr(10), text) AS raw FROM conversations"
 BOXES = """SELECT l_orderkey AS page_id, CAST((l_partkey * 37) % 500 AS DOUBLE) AS x0, CAST((l_suppkey * 53) % 700 AS DOUBLE) AS y0,
  CAST(least(600, (l_partkey * 37) % 500 + 5 + (l_partkey * 13 + l_linenumber * 71) % 300) AS DOUBLE) AS x1,
- CAST(least(840, (l_suppkey * 53) % 700 + 5 + (l_suppkey * 29 + l_linenumber * 97) % 300) AS DOUBLE) AS y1 FROM lineitem WHERE l_orderkey % 20 = 0
+ CAST(least(840, (l_suppkey * 53) % 700 + 5 + (l_suppkey * 29 + l_linenumber * 97) % 300) AS DOUBLE) AS y1 FROM lineitem
  UNION ALL SELECT DISTINCT l_orderkey, 0.0::DOUBLE, 0.0::DOUBLE, 600.0::DOUBLE, 840.0::DOUBLE FROM lineitem WHERE l_orderkey % 100 = 0"""
 SMALL_BOXES = """SELECT l_orderkey AS page_id, (l_partkey * 37) % 200 AS x0, (l_suppkey * 53) % 240 AS y0,
  (l_partkey * 37) % 200 + 5 + (l_partkey * 13 + l_linenumber * 71) % 40 AS x1, (l_suppkey * 53) % 240 + 5 + (l_suppkey * 29 + l_linenumber * 97) % 40 AS y1
- FROM lineitem WHERE l_orderkey % 20 = 0"""
+ FROM lineitem"""
 GRID_ROWS = """SELECT l_orderkey AS grid_id, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS row_no,
  CASE WHEN (l_linenumber + l_partkey) % 3 = 0 THEN '' ELSE l_returnflag END AS c1, CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS c2,
- CASE WHEN l_orderkey % 140 = 0 THEN repeat('x|y ', l_linenumber * 40) ELSE CAST(l_suppkey AS VARCHAR) END AS c3 FROM lineitem WHERE l_orderkey % 20 = 0"""
+ CASE WHEN l_orderkey % 140 = 0 THEN repeat('x|y ', l_linenumber * 40) ELSE CAST(l_suppkey AS VARCHAR) END AS c3 FROM lineitem"""
 _ending = "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SUFFIXES)) + " END"
 FILES = f"SELECT doc_id AS seq, concat('file', (doc_id // 7) % 40, {_ending}) AS name, n_chars % 3 AS size FROM documents"
 SUPPLIED = f"SELECT doc, page_no, CASE WHEN page_no % 10 = 0 THEN '  ' ELSE replace(raw, 'e', 'E') END AS text FROM ({FURNISHED}) WHERE page_no % 5 = 0"

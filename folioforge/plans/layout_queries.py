@@ -57,11 +57,11 @@ def scanned_pages(spark, sf_dir):
 def _drawings(spark, sf_dir):
     ops = F.array(*map(F.lit, ("l", "re", "c", "qu")))
     some = F.slice(ops, (F.col("l_linenumber") % 4 + 1).cast("int"), (F.col("l_partkey") % 3).cast("int"))
-    li = I.table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").withColumn("d", F.struct(some.alias("ops")))
+    li = I.table(spark, sf_dir, "lineitem").withColumn("d", F.struct(some.alias("ops")))
     return li.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.collect_list("d").alias("drawings"))
 
 
-@query("""WITH d AS (SELECT l_orderkey AS page_id, list_slice(['l', 're', 'c', 'qu'], l_linenumber % 4 + 1, l_linenumber % 4 + l_partkey % 3) AS ops FROM lineitem WHERE l_orderkey % 20 = 0),
+@query("""WITH d AS (SELECT l_orderkey AS page_id, list_slice(['l', 're', 'c', 'qu'], l_linenumber % 4 + 1, l_linenumber % 4 + l_partkey % 3) AS ops FROM lineitem),
  n AS (SELECT page_id, CAST(sum(len(list_filter(ops, lambda o: o IN ('l', 're')))) AS INTEGER) AS lines FROM d GROUP BY page_id)
  SELECT page_id, lines, lines >= 4 AS wants_tables FROM n""")
 def line_like_count(spark, sf_dir):
@@ -132,7 +132,7 @@ def markdown_grid_blank_head(spark, sf_dir):
 
 _NATIONS = "(SELECT concat(any_value(head), chr(10), '|---|---|', chr(10), string_agg(line, chr(10) ORDER BY k) FILTER (k > 0)) FROM (SELECT n_nationkey AS k, concat('|', n_nationkey, '|', n_name, '|') AS line, (SELECT concat('|', n_nationkey, '|', n_name, '|') FROM nation WHERE n_nationkey = 0) AS head FROM nation))"
 _BLOCKS = rf"""
- d AS (SELECT * FROM documents WHERE doc_id % 5 = 0),
+ d AS (SELECT * FROM documents),
  l AS (SELECT doc_id, i - 1 AS block_no, string_split(text, chr(10))[i] AS text FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
  k AS (SELECT doc_id AS doc, block_no, CASE WHEN block_no = 0 THEN 'heading' WHEN block_no % 4 = 0 THEN 'list' ELSE 'body' END AS kind, text, 1 + doc_id % 6 AS level FROM l
        UNION ALL SELECT doc_id, 1073741824, 'table', NULL, 0 FROM d WHERE doc_id % 3 = 0),
@@ -152,7 +152,7 @@ def block_kind_counts(spark, sf_dir):
 def _assembly_pages(spark, sf_dir):
     """Blocks, tables and figures on pages of 600 by 840, from line items in a fixed order."""
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    li = I.table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    li = I.table(spark, sf_dir, "lineitem")
     x0, y0 = (p * 37) % 500, (s * 53) % 700
     block = F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 40).cast("double").alias("x1"), (y0 + 20).cast("double").alias("y1"), F.when(p % 4 == 0, F.concat(F.lit("a longer line of words "), p)).otherwise(F.concat(F.lit("w"), p)).alias("text"))
     area = G.rect(x0 - 60, y0 - 60, x0 + 120, y0 + 120)
@@ -167,7 +167,7 @@ def _assembly_pages(spark, sf_dir):
 
 
 @query("""WITH li AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b,
-   ((l_partkey * 37) % 500)::DOUBLE AS x, ((l_suppkey * 53) % 700)::DOUBLE AS y FROM lineitem WHERE l_orderkey % 20 = 0),
+   ((l_partkey * 37) % 500)::DOUBLE AS x, ((l_suppkey * 53) % 700)::DOUBLE AS y FROM lineitem),
  bl AS (SELECT page, b, x + 20 AS cx, y + 10 AS cy, CASE WHEN p % 4 = 0 THEN concat('a longer line of words ', p) ELSE concat('w', p) END AS text, p % 4 = 0 AS sentences FROM li),
  tb AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY b) - 1 AS t, x, y, concat(chr(10), '|k|v|', chr(10), '|---|---|', chr(10), '|', p, '|', CASE WHEN s % 3 <> 0 THEN CAST(s AS VARCHAR) ELSE '' END, '|', chr(10)) AS grid FROM li WHERE n % 3 = 1),
  fg AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY b) - 1 AS f, x, y FROM li WHERE n % 3 = 2),
@@ -186,7 +186,7 @@ def assemble_page(spark, sf_dir):
 
 
 @query("""SELECT page_no, name, 144 AS dpi, x0 FROM (
- SELECT l_orderkey AS page_no, concat('p', lpad(CAST(l_orderkey AS VARCHAR), 5, '0'), '.png') AS name, NULL::DOUBLE AS x0 FROM lineitem WHERE l_orderkey % 20 = 0 AND l_orderkey % 3 = 0 GROUP BY l_orderkey
- UNION ALL SELECT l_orderkey, concat('p', lpad(CAST(l_orderkey AS VARCHAR), 5, '0'), '_f', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey), '.png'), ((l_partkey * 37) % 500 - 60)::DOUBLE FROM lineitem WHERE l_orderkey % 20 = 0 AND l_orderkey % 3 <> 0 AND l_linenumber % 3 = 2)""")
+ SELECT l_orderkey AS page_no, concat('p', lpad(CAST(l_orderkey AS VARCHAR), 5, '0'), '.png') AS name, NULL::DOUBLE AS x0 FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey
+ UNION ALL SELECT l_orderkey, concat('p', lpad(CAST(l_orderkey AS VARCHAR), 5, '0'), '_f', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey), '.png'), ((l_partkey * 37) % 500 - 60)::DOUBLE FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_linenumber % 3 = 2)""")
 def render_plan(spark, sf_dir):
     return layout.render_plan(_assembly_pages(spark, sf_dir).withColumn("visual", F.col("page_no") % 3 == 0)).select("page_no", "name", "dpi", F.col("clip.x0").alias("x0"))
