@@ -68,10 +68,11 @@ def stale(jobs: DataFrame, done: DataFrame) -> DataFrame:
 
 def output_folders(files: DataFrame, order: str = "seq", tail: str = "_reduced") -> DataFrame:
     """files (name, seq) with folder: the stem, and for a stem that a file of another name took first, its suffix as well."""
-    stem = T.stem(F.col("name"))
-    first = F.min(F.struct(order, "name")).over(Window.partitionBy("_stem"))
+    files = files.withColumn("_stem", T.stem(F.col("name")))
+    first = files.groupBy(F.col("_stem").alias("_of")).agg(F.min(F.struct(order, "name")).alias("_first"))
     plain, other = F.concat("_stem", F.lit(tail)), F.concat("_stem", F.lit("_"), F.regexp_extract("name", r"\.([^.]*)$", 1), F.lit(tail))
-    return files.withColumn("_stem", stem).withColumn("_first", first).withColumn("folder", F.when(F.col("name") == F.col("_first.name"), plain).otherwise(other)).drop("_stem", "_first")
+    joined = files.join(first, F.col("_stem").eqNullSafe(F.col("_of")), "left")
+    return joined.withColumn("folder", F.when(F.col("name") == F.col("_first.name"), plain).otherwise(other)).drop("_stem", "_of", "_first")
 
 
 def shared(value: Column) -> Column:
