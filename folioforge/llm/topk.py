@@ -27,6 +27,8 @@ from .common import table, written
 
 BLOCKS = "block long, ids binary, low long, bits int, dims int, slices array<binary>"
 BEST = "query_id long, vec_id long, score long"
+#: Pairs of a block and a chunk of queries: enough to spread over a large cluster.
+PAIRS = 8192
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -152,10 +154,12 @@ def build_index(vectors: DataFrame, rows: int, block_rows: int) -> DataFrame:
     return vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(_build, BLOCKS)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int | None = None, chunk: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int | None = None, chunk: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best vectors for each query; queries hold the same columns as vectors.
 
-    block_rows: rows of a block, by default between 2048 and 65,536. Queries travel in chunks; each chunk meets each block once, as a row of both. A task holds one block and one chunk.
+    block_rows: rows of a block, by default between 2048 and 65,536. Queries travel in chunks; each chunk meets each
+    block once, as a row of both, so that a block travels once for each chunk. chunk: queries of a chunk, by default
+    between 256 and 16,384, so that about PAIRS rows do. A task holds one block and one chunk at a time.
     """
     v = written(quantised(vectors, id_col, vector_col, scale), "vectors")
     n = v.count()
@@ -163,10 +167,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     index = written(build_index(v, n, block_rows), "bit-slices")
     q = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.max("q").alias("q"))
     asked = max(1, q.count())
+    blocks = max(1, -(-n // block_rows))
+    chunk = chunk or min(16_384, max(256, asked * blocks // PAIRS))
     q = q.withColumn("chunk", F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(-(-asked // chunk))))
     chunks = q.groupBy("chunk").agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "q")))).alias("queries"))
     chunks = chunks.withColumn("queries", F.regexp_replace(F.regexp_replace("queries", r'\{"id":(-?\d+),"q":', "[$1,"), r"\]\}", "]]"))
-    blocks = max(1, -(-n // block_rows))
     meets = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     best = index.join(meets, "block").drop("block").repartition("chunk", "low", "ids").mapInArrow(_search(k), BEST)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # cut to k rows a task before the shuffle
