@@ -48,7 +48,7 @@ def with_supplied(pages: DataFrame, supplied: DataFrame) -> DataFrame:
 def fold_in(finished: DataFrame, keys: DataFrame, recognised: DataFrame, settings: Settings = DEFAULT, normaliser=T.nfkc) -> DataFrame:
     """finished (doc, page_no, text, ocr) with the pages that were recognised later, cleaned by their document's known
     boilerplate. Pages that come out blank, or are not among the finished, change nothing. Folding in again is the same."""
-    few = keys.groupBy("doc").agg(F.collect_set("key").alias("_keys"))
+    few = P.few_keys(keys)
     new = recognised.select("doc", "page_no", F.col("text").alias("_raw")).join(few, "doc", "left")
     new = new.select("doc", "page_no", P.prepare_page_text(F.coalesce("_raw", F.lit("")), F.col("_keys"), settings, normaliser).alias("_new")).where("_new <> ''")
     both = finished.join(new, ["doc", "page_no"], "left")

@@ -73,9 +73,15 @@ def strip_lines(text: Column, keys: Column, settings: Settings = DEFAULT) -> Col
     return out if settings.drop_page_numbers else F.when(F.size(keys) == 0, text).otherwise(out)
 
 
+def few_keys(keys: DataFrame) -> DataFrame:
+    """(doc, _keys). Dealt by an exchange of its own, so that its size is known when the join with the pages is chosen:
+    Spark broadcasts it if it is small, and else splits what a document with very many pages would give to one task."""
+    return keys.groupBy("doc").agg(F.collect_set("key").alias("_keys")).repartition("doc")
+
+
 def stripped(pages: DataFrame, keys: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """pages with text rid of the boilerplate keys (doc, key) of their document; page-local once the few keys are joined."""
-    few = keys.groupBy("doc").agg(F.collect_set("key").alias("_keys"))
+    few = few_keys(keys)
     return pages.join(few, "doc", "left").withColumn("text", strip_lines(F.col("text"), F.col("_keys"), settings)).drop("_keys")
 
 
