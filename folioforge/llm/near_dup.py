@@ -15,8 +15,9 @@ weighted samples of each make BANDS keys. What shares a key is a bucket:
 
 * up to MOST members, all pairs are compared;
 * larger ones are dealt anew by keys made longer in WAYS ways, whose buckets are handled likewise, and they are cut
-  to chunks, each compared within and with the bucket's hubs: the member in most large buckets, and the first. A group
-  of edited copies meets its original that way, and no task holds more than a chunk.
+  to chunks, each compared within and with the bucket's hubs: the member in most large buckets, and the first;
+* members of a larger bucket that are not one class after that meet hubs with the most frequent elements (an original
+  has no edits of its own) in rounds, until a round no longer halves what is open.
 
 All comparisons are exact. Links (similarity of LEAST or more) connect classes; the class id is the least doc_id.
 The banding misses a pair with similarity 0.8 with probability 0.002, and less for more similar ones; in buckets larger
@@ -28,6 +29,7 @@ null, they are kept. Rows that repeat an id are in the classes of their texts. A
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +48,8 @@ MOST, WAYS = 128, 4
 #: Counters of a summary, and shingles that wait to be merged into one.
 COUNTERS, WAITING = 1 << 16, 1 << 20
 PART = np.uint64((1 << 48) - 1)
+#: Counters of the frequencies that order elements (any order is right), and slack for sums of 32-bit weights.
+SLOTS, SLACK = 1 << 18, 1e-4
 
 SEEDS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 ODD = mix64(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
@@ -304,14 +308,14 @@ def _chunked(large: DataFrame) -> DataFrame:
     return lists.join(hubs, ["band", "key"]).select(F.sort_array(F.array_union("ids", "hubs")).alias("ids"))
 
 
-def candidate_lists(signed: DataFrame) -> DataFrame:
-    """Lists (ids) whose members are to be compared, from (id, halves); about MOST ids each."""
+def candidate_lists(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Lists (ids) whose members are to be compared, from (id, halves), about MOST ids each; and the members (band, key, id) of larger buckets."""
     exploded = signed.where(F.size("halves") > 0).select("id", F.explode(band_keys(F.col("halves"))).alias("b")).select(F.col("b.band").alias("band"), F.col("b.key").alias("key"), "id")
     members = written(_buckets(exploded, "buckets"), "members")
     lists = [_lists(members.where(F.col("n") <= MOST))]
     large = members.where(F.col("n") > MOST)
     if large.isEmpty():
-        return lists[0].distinct()
+        return lists[0].distinct(), None
     often = large.groupBy("id").agg(F.count(F.lit(1)).alias("often"))
     about = written(often.join(signed.select("id", "halves"), "id"), "often")
     large = written(large.join(about, "id"), "large")
@@ -325,7 +329,89 @@ def candidate_lists(signed: DataFrame) -> DataFrame:
     every = lists[0]
     for x in lists[1:]:
         every = every.unionByName(x)
-    return every.distinct()
+    return every.distinct(), large.select("band", "key", "id")
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of elements by their last bits."""
+    n = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        n += np.bincount(np.frombuffer(b"".join(batch.column("elements").to_pylist()), np.uint32) & np.uint32(SLOTS - 1), minlength=SLOTS)
+    slot = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(n[slot], pa.int64())], names=["slot", "n"])
+
+
+def _prefixer(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, size, score: mean frequency, tokens: the elements from rare to frequent while those left weigh LEAST of all, reach).
+
+    Texts x, y are similar only if their overlap has LEAST / (1 + LEAST) of the sum of their sizes. From the first shared
+    token on, x has rest at most: so size(y) <= reach(x) = rest * (1 + LEAST) / LEAST - size(x), and likewise size(x) <= reach(y).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, scores, tokens, reach = [], [], [], []
+            for e, w in zip(batch.column("elements").to_pylist(), batch.column("weights").to_pylist(), strict=True):
+                e = np.frombuffer(e, np.uint32)
+                w = np.frombuffer(w, np.float32).astype(float) if w else np.ones(len(e))
+                n, size = counts[e & np.uint32(SLOTS - 1)], w.sum()
+                order = np.lexsort((e, n))
+                rest = size - np.cumsum(w[order]) + w[order]
+                k = int((rest >= (LEAST - SLACK) * size).sum())
+                sizes.append(size)
+                scores.append((n * w).sum() / max(size, 1))
+                tokens.append(e[order[:k]].astype(np.int64))
+                reach.append(rest[:k] * ((1 + LEAST) / LEAST) - size + SLACK * size)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.float64()), pa.array(scores, pa.float64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(reach, pa.list_(pa.float64()))], names=["id", "size", "score", "tokens", "reach"])
+
+    return run
+
+
+def _links(asked: DataFrame, one: DataFrame) -> DataFrame:
+    """Links (a, b) found in lists (list, id), with the elements of each id."""
+    return written(asked.join(one, "id").groupBy("list").applyInArrow(_verify, "a long, b long"), "links")
+
+
+def _pair_links(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """Links of pairs (a, b): each a with its b in lists of MOST."""
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(MOST - 1)))
+    lists = pairs.join(sizes, "a").groupBy("a", part.alias("part")).agg(F.collect_set("b").alias("bs"))
+    return _links(written(lists.select(F.xxhash64("a", "part").alias("list"), F.explode(F.array_union(F.array("a"), "bs")).alias("id")), "asked"), one)
+
+
+def _open(large: DataFrame, component: DataFrame) -> DataFrame:
+    """Members (band, key, id, label) of the larger buckets that are not all in one component."""
+    labelled = written(large.join(component.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("label")), "labelled")
+    several = labelled.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "key")
+    return written(labelled.join(several, ["band", "key"]), "open")
+
+
+def settled(large: DataFrame, one: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of links, and of those still missing between members (band, key, id) of larger buckets; one: the elements of each id."""
+    component = connected_components(links)
+    opened = _open(large, component)
+    left, before, used = opened.count(), math.inf, None
+    if not left:
+        return component
+    one = written(one.join(opened.select("id").distinct(), "id"), "open-elements")
+    counts = np.zeros(SLOTS, np.int64)
+    found = one.select("elements").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    prefixes = written(one.mapInArrow(_prefixer(counts), "id long, size double, score double, tokens array<long>, reach array<double>"), "prefixes")
+    while 0 < left <= before / 2:
+        free = opened.join(prefixes.select("id", "score"), "id")
+        if used is not None:
+            free = free.join(opened.join(used.withColumnRenamed("hub", "id"), ["band", "key", "id"]).select("band", "key", "label").distinct(), ["band", "key", "label"], "left_anti")
+        hubs = free.groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("less"))).alias("h")).select("band", "key", (-F.col("h.less")).alias("hub"))
+        hubs = written(hubs, "hubs")
+        used = hubs if used is None else used.unionByName(hubs)
+        pairs = written(opened.join(hubs, ["band", "key"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        links = links.unionByName(_pair_links(pairs, one))
+        component = connected_components(links)
+        opened = _open(large, component)
+        left, before = opened.count(), left
+    return component
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,13 +420,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     idf = idf_of(docs)
     signed = written(docs.mapInArrow(_signer(idf), "id long, words1 long, words2 long, halves array<int>"), "signatures")
     same = written(signed.where("id IS NOT NULL").groupBy("words1", "words2").agg(F.min("id").alias("id"), F.first("halves").alias("halves")), "texts")
-    lists = written(candidate_lists(same.select("id", "halves")).select(F.xxhash64("ids").alias("list"), "ids"), "lists")
+    lists, large = candidate_lists(same.select("id", "halves"))
+    lists = written(lists.select(F.xxhash64("ids").alias("list"), "ids"), "lists")
     asked = written(lists.select("list", F.explode("ids").alias("id")), "asked")
     needed = asked.select("id").distinct().hint("merge")  # more than may be broadcast but for toys: one plan at all sizes
     one = docs.join(needed, "id").mapInArrow(_reader(idf), "id long, elements binary, weights binary")
     one = written(one, "elements").dropDuplicates(["id"])
-    links = written(asked.join(one, "id").groupBy("list").applyInArrow(_verify, "a long, b long"), "links")
-    component = connected_components(links)
+    links = _links(asked, one)
+    component = connected_components(links) if large is None else settled(large, one, links)
     of = same.select("words1", "words2", "id").join(component, F.col("id") == F.col("node"), "left").select("words1", "words2", F.coalesce("component", "id").alias("class_id"))
     of = written(of, "classes")
     found = signed.select("id", "words1", "words2").join(of, ["words1", "words2"], "left")

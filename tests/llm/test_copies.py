@@ -100,6 +100,14 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert got == brute_classes([(i, t or "") for i, t in rows])
 
 
+def test_original_of_a_large_group(spark, monkeypatch):
+    """Copies that are similar to hardly more than their original; others, close to it and before it, are in all its buckets."""
+    monkeypatch.setattr(N, "MOST", 4)
+    base = prose(2, 400)
+    rows = [(i, edited(base, 1, 7 * i + 1)) for i in range(20)] + [(20 + i, edited(base, 8, 7 * i + 1000)) for i in range(300)] + [(1000, base)]
+    assert {r.doc_id: r.class_id for r in N.classes(table(spark, rows)).collect()} == brute_classes(rows)
+
+
 def test_a_repeated_line_makes_no_copies(spark):
     """Different texts filled with the same line stay apart; edited copies of such a text do not."""
     line = prose(50, 8) + " "
