@@ -16,12 +16,14 @@ weighted samples of each make BANDS keys. What shares a key is a bucket:
 * up to MOST members, all pairs are compared;
 * larger ones are dealt anew by keys made longer in WAYS ways, whose buckets are handled likewise, and they are cut
   to chunks, each compared within and with the bucket's hubs: the member in most large buckets, and the first;
-* members of a larger bucket that are not one class after that meet hubs with the most frequent elements (an original
-  has no edits of its own) in rounds, until a round no longer halves what is open.
+* a larger bucket whose members these comparisons do not make one class is settled exactly. In rounds, all its members
+  meet a hub with the most frequent elements (an original has no edits of its own), until a round no longer halves what
+  is open. Of the rest, every pair that can be similar and is not yet in one class is compared, found by prefixes:
+  with elements from rare to frequent, the first one that two texts share leaves both with weight enough to be similar.
 
 All comparisons are exact. Links (similarity of LEAST or more) connect classes; the class id is the least doc_id.
-The banding misses a pair with similarity 0.8 with probability 0.002, and less for more similar ones; in buckets larger
-than MOST a pair of members neither of which is similar to a hub is met through the longer keys.
+The banding misses a pair with similarity 0.8 with probability 0.002, and less for more similar ones; a pair that shares
+a bucket is compared or already connected, however large the bucket.
 
 Null counts as the empty text; texts without words are one class. Rows without an id are in no class: class_id is
 null, they are kept. Rows that repeat an id are in the classes of their texts. An empty table gives an empty result.
@@ -387,6 +389,21 @@ def _open(large: DataFrame, component: DataFrame) -> DataFrame:
     return written(labelled.join(several, ["band", "key"]), "open")
 
 
+def _prefix_pairs(opened: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different labels that can be similar by their sizes and the first element they share."""
+    tokens = opened.select("id", "label").distinct().join(prefixes, "id").select("id", "label", "size", F.explode(F.arrays_zip("tokens", "reach")).alias("t"))
+    tokens = written(tokens.select(F.col("t.tokens").alias("token"), "label", "id", "size", F.col("t.reach").alias("reach")), "tokens")
+    groups = written(tokens.groupBy("token", "label").agg(F.min("size").alias("size"), F.max("reach").alias("reach"), F.max(F.col("reach") - F.col("size")).alias("spare")), "groups")
+    # of two texts one is not the smaller, so one of a pair reaches its own size
+    several = groups.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("spare").alias("most")).where("x < y AND most >= 0").select("token")
+    groups = written(groups.join(several, "token"), "groups")
+    x, y = (groups.select("token", *(F.col(c).alias(f"{c}_{p}") for c in ("label", "size", "reach", "spare"))) for p in "xy")
+    both = x.join(y, "token").where("label_x < label_y AND size_x <= reach_y AND size_y <= reach_x AND (spare_x >= 0 OR spare_y >= 0)").select("token", "label_x", "label_y")
+    a, b = (tokens.select("token", F.col("label").alias(f"label_{p}"), F.col("id").alias(i), F.col("size").alias(f"size_{p}"), F.col("reach").alias(f"reach_{p}")) for p, i in (("x", "a"), ("y", "b")))
+    found = written(both, "label-pairs").join(a, ["token", "label_x"]).join(b, ["token", "label_y"])
+    return written(found.where("size_x <= reach_y AND size_y <= reach_x").select("a", "b").distinct(), "pairs")
+
+
 def settled(large: DataFrame, one: DataFrame, links: DataFrame) -> DataFrame:
     """Components of links, and of those still missing between members (band, key, id) of larger buckets; one: the elements of each id."""
     component = connected_components(links)
@@ -411,7 +428,7 @@ def settled(large: DataFrame, one: DataFrame, links: DataFrame) -> DataFrame:
         component = connected_components(links)
         opened = _open(large, component)
         left, before = opened.count(), left
-    return component
+    return connected_components(links.unionByName(_pair_links(_prefix_pairs(opened, prefixes), one))) if left else component
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

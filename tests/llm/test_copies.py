@@ -100,6 +100,18 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert got == brute_classes([(i, t or "") for i, t in rows])
 
 
+def test_large_buckets_against_brute_force(spark, monkeypatch):
+    """Pairs of near copies in a family that shares most of each text without being similar, wider than a bucket may be."""
+    monkeypatch.setattr(N, "MOST", 6)
+    base, rows = prose(1, 400), []
+    for i in range(120):
+        own = base + " " + prose(500 + i, 8)
+        rows += [(2 * i, edited(own, 5, 3 * i + 1)), (2 * i + 1, edited(own, 5, 3 * i + 2))]
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 188
+    assert {r.doc_id: r.class_id for r in N.classes(table(spark, rows)).collect()} == want
+
+
 def test_original_of_a_large_group(spark, monkeypatch):
     """Copies that are similar to hardly more than their original; others, close to it and before it, are in all its buckets."""
     monkeypatch.setattr(N, "MOST", 4)
