@@ -1,7 +1,7 @@
 """Secrets in whole texts, also inside nested encodings.
 
 The worklist starts with the text. Each layer is scanned for secrets and for encoded runs: percent escapes, Unicode
-and character-reference escapes, base64 (plain or URL alphabet), and what decompresses (zlib, gzip) after base64.
+and character-reference escapes, base64 (plain or URL alphabet, also wrapped into lines), and what decompresses (zlib, gzip) after base64.
 Decoded runs are new layers until none is new; a set of the layers seen breaks cycles. For every character of a layer
 the place in the original text that it came from is kept, so a secret in any layer is reported where its encoded form
 stands in the document. Matches of the text itself always stay as they are.
@@ -36,6 +36,8 @@ RUN = re.compile(r"[^\x20\x09-\x0D]+")
 ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 REFERENCE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 Span = tuple[int, int, int]
@@ -95,8 +97,9 @@ def _utf8_places(raw: bytes, step: int, at: int) -> tuple[str, list[tuple[int, i
 
 
 def _runs(escape: re.Pattern, text: str) -> Iterator[tuple[int, int, list[re.Match]]]:
-    """The runs without white space that hold escapes, and these."""
+    """The whole text (a key and its value may have white space between) and the runs without white space that hold escapes, and these."""
     if escape.search(text):
+        yield 0, len(text), list(escape.finditer(text))
         for run in RUN.finditer(text):
             if found := list(escape.finditer(text, *run.span())):
                 yield *run.span(), found
@@ -142,27 +145,53 @@ def _readable(raw: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
+def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Lines of base64 that may belong together: after the first all are as long as the second, but for a shorter last one, with it and without."""
+    for block in WRAPPED.finditer(text):
+        lines, i = [m.span() for m in LINE.finditer(text, *block.span())], 0
+        while i + 1 < len(lines):
+            width, j = lines[i + 1][1] - lines[i + 1][0], i + 2
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            if j < len(lines) and lines[j][1] - lines[j][0] < width:
+                yield lines[i : j + 1]
+            yield lines[i:j]
+            i = j - 1
+
+
+def _base64_layer(layer: Layer, parts: list[tuple[int, int]]) -> Layer | None:
+    body = "".join(layer.text[a:b] for a, b in parts).rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except binascii.Error:
+        return None
+    if (more := _inflated(raw)) is not None:
+        p, q = layer.place(parts[0][0], parts[-1][1])
+        return Layer(more.decode("utf-8", "replace"), [p], [q])
+    if (text := _readable(raw)) is None:
+        return None
+    at = [i for a, b in parts for i in range(a, b)]
+    starts, ends, i = [], [], 0
+    for c in text:
+        j = i + len(c.encode("utf-8"))
+        p, q = layer.place(at[i * 4 // 3], at[min(len(body), -(-j * 4 // 3)) - 1] + 1)
+        starts.append(p)
+        ends.append(q)
+        i = j
+    return Layer(text, starts, ends)
+
+
 def base64_layers(layer: Layer) -> Iterator[Layer]:
+    joined = 0
+    for parts in _wrapped(layer.text):
+        if parts[0][0] >= joined and (new := _base64_layer(layer, parts)) is not None:
+            joined = parts[-1][1]
+            yield new
     for run in BASE64.finditer(layer.text):
-        body = run[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        if (more := _inflated(raw)) is not None:
-            p, q = layer.place(*run.span())
-            yield Layer(more.decode("utf-8", "replace"), [p], [q])
-        elif (text := _readable(raw)) is not None:
-            starts, ends, i = [], [], 0
-            for c in text:
-                j = i + len(c.encode("utf-8"))
-                p, q = layer.place(run.start() + i * 4 // 3, run.start() + min(len(body), -(-j * 4 // 3)))
-                starts.append(p)
-                ends.append(q)
-                i = j
-            yield Layer(text, starts, ends)
+        if (new := _base64_layer(layer, [run.span()])) is not None:
+            yield new
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -191,6 +191,26 @@ def test_places_of_decoded_secrets():
     assert len(S.all_spans(twice)[1]) == 2  # the same layer in two places
 
 
+def test_escapes_beside_white_space():
+    for text in ("a password = %68unter22secret b", '{"api_key": "\\u0068unter22secret"}', "%70assword = hunter22secret"):
+        assert any(kind == 0 and text[start:end].endswith("unter22secret") for start, kind, end in S.all_spans(text)[1]), text
+
+
+def test_wrapped_base64():
+    import base64
+    import gzip
+    import random
+
+    plain = ("lorem ipsum " * 4 + "password=hunter22secret" + " dolor sit" * 9).encode()
+    noise = "".join(random.Random(1).choices("ghijklmnop", k=400))
+    for raw in (plain, gzip.compress((noise + " password=hunter22secret").encode(), mtime=0)):
+        for end in ("\n", "\r\n"):
+            body = end.join(base64.encodebytes(raw).decode().split())
+            text = "see\n\n" + body + "\n\nend"
+            found = [text[a:b] for a, k, b in S.all_spans(text)[1] if k == 0]
+            assert any("\n" in f for f in found)
+
+
 def test_scan(spark):
     rows = [(1, None), (2, ""), (3, "token: abcdefg " * 20_000), (None, "AKIA" + "B" * 20), (4, "a" * 100_000), (4, "a" * 100_000), (5, "%" * 5000 + " &# \\u12")]
     got = S.scan(docs(spark, rows)).collect()
