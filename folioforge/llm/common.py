@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +36,61 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: For each operator that runs just now, the tables it has written.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later reads neither repeat its work nor depend on its executors."""
+    """df as a table in the shared folder: later reads neither repeat its work nor depend on its executors.
+
+    Within a function that is tidy, the table goes when the function ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written as a table, and its other tables deleted after that.
+
+    Only the result stays in the shared folder, for its caller to delete; an operator that calls this one does so."""
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        mine: list[str] = []
+        _open.append(mine)
+        try:
+            df = operator(*args, **options)
+            spark = df.sparkSession
+            _open.pop()
+            out = written(df, operator.__name__)
+        except BaseException:
+            if _open and _open[-1] is mine:
+                _open.pop()
+            raise
+        deleted(spark, mine)
+        return out
+
+    return run
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about size bytes of a column, so that Python holds few texts at once; a longer text is a slice of its own."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, done + size, side="right")))
+        yield batch.slice(at, end - at)
+        at, done = end, int(total[end - 1])
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

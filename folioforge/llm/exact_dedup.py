@@ -8,7 +8,8 @@ not, so a lookup compares all bytes of the digest in the slot; those that differ
 Texts are equal if they are identical without white space (U+0009 to U+000D, U+0020). Null counts as the empty
 text; empty texts are equal to each other. Of equal texts the one with the most code points as it came stays, of
 these the one with the smallest id (null ids last). Rows repeated with the same id count as rows of their own:
-each is kept if it carries the id that stays. An empty table gives an empty result.
+each is kept if it carries the id that stays. Any long is an id. Very long texts are hashed where they stand; only
+digests travel. Other columns are not read, so their names clash with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def _probe(index: pa.Table, rows: pa.Table) -> pa.Table:
     member[member] = (old[slot[member]] == new[member]).all(axis=1)
     at = slot[member]
     o_n[at] += n[member]
-    key = lambda p, i, x: (p, ~x, -i)
+    key = lambda p, i, x: (p, ~x, ~i)
     mine, theirs = key(points[member], ids[member], no_id[member]), key(o_points[at], o_ids[at], o_no_id[at])
     better, tied = np.zeros(len(at), bool), np.ones(len(at), bool)
     for a, b in zip(mine, theirs, strict=True):
@@ -129,10 +130,10 @@ def _groups(digests: np.ndarray, points: np.ndarray, ids: np.ndarray, no_id: np.
 
 def distinct_digests(rows: DataFrame, shards: int) -> DataFrame:
     """One row per digest of rows (id, points, digest): its count and the row that wins; summed in part before the shuffle."""
-    best = F.max(F.struct(F.col("points"), F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("less")))
+    best = F.max(F.struct(F.col("points"), F.col("id").isNotNull().alias("has"), F.bitwise_not("id").alias("less")))  # ~id falls as id rises, for all longs
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best.alias("b"))
     shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
-    return groups.select(shard.alias("shard"), "digest", F.col("b.points").alias("points"), (-F.col("b.less")).alias("id"), "n")
+    return groups.select(shard.alias("shard"), "digest", F.col("b.points").alias("points"), F.bitwise_not("b.less").alias("id"), "n")
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:

@@ -9,7 +9,9 @@ Sources are numbered by code point, null last, and weigh 5, 2, 1, repeating. The
 by weight; a target stops at three times the source's size, and what is left over is shared again by weight. A
 document at the end of a source's demand is taken in part, so that a source gives its rounded target exactly; within
 three passes no document gives more than three times its size. Null texts and texts of white space have size 0 and
-give nothing. The same id more than once: each row is taken for itself. An empty table gives an empty result.
+give nothing. The same id more than once: each row is taken for itself; the documents of rows that agree in id, source and
+text come each as often as the one of them taken most. A very long text counts as often as any. Clashing names of other
+columns do no harm. Sources are few: their shares are computed in one task, a row a source. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,11 +68,11 @@ def position(share: Column, turn: Column) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, first and last position (null if not taken),
-    copies (passes of which it gives half of its words or more)."""
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size")), "sizes")
+    copies (passes of which it gives half of its words or more); _mark, a hash of the text, tells rows with the same id apart."""
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"), F.xxhash64(text_of(text_col)).alias("_mark")), "sizes")
     shares = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "_of")
     keyed = rows.withColumn("_key", order_key(F.col("doc_id")))
-    summed = running_sum(keyed, ["source"], "_key", ["doc_id", "size"], "size", "_at", slice_bits(rows.count()))
+    summed = running_sum(keyed, ["source"], "_key", ["doc_id", "size", "_mark"], "size", "_at", slice_bits(rows.count()))
     d = summed.join(shares, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     takes = [overlap(F.col("_at") + p * F.col("source_size"), F.col("size"), F.col("wanted")) for p in range(PASSES)]
     time = lambda word: F.when(F.col("taken") > 0, position(F.least(F.lit(1.0), (word + 0.5) / F.col("wanted")), F.col("turn")))
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last = (passes - 1) * F.col("source_size") + F.col("_at")
     copies = sum(((t > 0) & (2 * t >= F.col("size"))).cast("int") for t in takes)
     d = d.withColumn("taken", sum(takes, F.lit(0)).cast("long")).withColumn("copies", copies)
-    return d.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", time(F.col("_at")).alias("first_position"), time(last).alias("last_position"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "_mark", time(F.col("_at")).alias("first_position"), time(last).alias("last_position"))
 
 
 def sorted_by_position(plan: DataFrame) -> DataFrame:
@@ -87,11 +89,11 @@ def sorted_by_position(plan: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents themselves: each as often as the mix uses it (the last time in part counts from half on), in training order."""
-    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_n"), F.min("first_position").alias("_position"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_n", "_position")
+    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy("doc_id", "source", "size", "_mark").agg(F.max("copies").alias("_n"), F.min("first_position").alias("_position"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_mark", "_n", "_position")
     whole = docs.select(F.struct("*").alias("_doc"))  # so that no column of the documents clashes with the plan's
     own = lambda c: F.col("_doc")[c]
-    same = own(id_col).eqNullSafe(F.col("_id")) & own(source_col).eqNullSafe(F.col("_source")) & (word_count(F.coalesce(own(text_col), F.lit(""))) == F.col("_size"))
+    same = own(id_col).eqNullSafe(F.col("_id")) & own(source_col).eqNullSafe(F.col("_source")) & (word_count(F.coalesce(own(text_col), F.lit(""))) == F.col("_size")) & (F.xxhash64(F.coalesce(own(text_col), F.lit(""))) == F.col("_mark"))
     copies = whole.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     ordered = copies.repartitionByRange("_position", "_id", "_copy").sortWithinPartitions("_position", "_id", "_copy")
     return ordered.select(*(own(c).alias(c) for c in docs.columns))

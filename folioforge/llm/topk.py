@@ -9,14 +9,17 @@ taken while they are fewer than k; those that still tie after the last slice are
 The best of each block are then merged. All steps are exact; nothing is sampled or capped.
 
 Vectors that are null or hold null or non-finite components take no part, neither do rows without an id. Shorter
-vectors count as filled up with zeros. Rows that share an id are candidates each, but not for queries of that id; a
+vectors count as filled up with zeros. Quantised components end at 2 ** 53 either way; scores are exact however large, and
+ranked so, but reported as the nearest long. Rows that share an id are candidates each, but not for queries of that id; a
 query id that repeats is asked once, with its greatest vector. Fewer than k candidates give as many rows as there are.
+Other columns are not read, so their names clash with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 BLOCKS = "block long, ids binary, low long, bits int, dims int, slices array<binary>"
-BEST = "query_id long, vec_id long, score long"
+BEST = "query_id long, vec_id long, score decimal(38,0)"
+#: Quantised components end here: beyond, doubles have no units any more, and sums must fit 38 digits.
+LARGEST = 2.0**53
 #: Pairs of a block and a chunk of queries: enough to spread over a large cluster.
 PAIRS = 8192
 
@@ -34,7 +39,7 @@ PAIRS = 8192
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return v.where(~odd).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("q"))
+    return v.where(~odd).select("id", F.transform("v", lambda x: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x * scale))).cast("long")).alias("q"))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -143,7 +148,7 @@ def _search(k: int):
                 ids = np.frombuffer(row["ids"], np.int64)
                 slices = [int.from_bytes(s, "little") for s in row["slices"]]
                 best = [(q, i, s) for q, v in json.loads(row["queries"]) for s, i in block_best(q, v, ids, row["low"], row["bits"], row["dims"], slices, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([b[c] for b in best], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([b[c] for b in best], pa.int64()) for c in range(2)), pa.array([Decimal(b[2]) for b in best], pa.decimal128(38, 0))], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -174,8 +179,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     chunks = chunks.withColumn("queries", F.regexp_replace(F.regexp_replace("queries", r'\{"id":(-?\d+),"q":', "[$1,"), r"\]\}", "]]"))
     meets = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     best = index.join(meets, "block").drop("block").repartition("chunk", "low", "ids").mapInArrow(_search(k), BEST)
+    as_long = F.greatest(F.lit(-(2**63)).cast("decimal(38,0)"), F.least(F.lit(2**63 - 1).cast("decimal(38,0)"), F.col("score"))).cast("long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # cut to k rows a task before the shuffle
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", as_long.alias("score"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ beside words of address as aimed. A logistic model over counts of these gives th
 from the start, however few the training texts tell about them.
 
 Labels are learned only from rows where crc32(id as text) mod 4 is not 2, at most SAMPLE of them, chosen by a hash of
-the id: a bound on what training holds. Every text is scored whole. Null and empty texts have no hits and get the
+the id: a bound on what training holds, and so on the candidate terms, the words of harmless texts and the features that
+come to the driver. Every text is scored whole, very long ones too; what a task has determinised of the automaton is
+forgotten beyond STATES states, which changes no score. Other columns are not read. An empty table gives an empty result. Null and empty texts have no hits and get the
 score of such texts; without any usable label the lexicon is empty and all scores are equal. Repeated rows are scored
 each for itself; an id labelled more than once counts as toxic if any label says so.
 """
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SAMPLE = 20_000
+#: States of the product automaton that a task keeps.
+STATES = 100_000
 #: A term that one in so many toxic texts has stands for itself; rarer ones must cover texts without any.
 OFTEN = 25
 THRESHOLD = 0.3
@@ -70,11 +74,15 @@ class Lexicon:
                 node = self.child[node][c]
                 self.allowed[node] = max(self.allowed[node], self.allow[i])
             self.ends[node].append(i)
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins with the start state alone; states come back as words need them."""
         self.states: dict[tuple, int] = {}
         self.members: list[tuple] = []
         self.next: list[dict[str, int]] = []
         self.found: list[tuple[int, int] | None] = []
-        self.start = self._state({(0, ""): 0}) if entries else -1
+        self.start = self._state({(0, ""): 0}) if self.entries else -1
 
     def __reduce__(self) -> tuple:
         return Lexicon, (self.entries, self.known)
@@ -125,6 +133,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, entry) of the best entry that a word in lower case is, or is a misspelling of; a word that continues a stem is one of it."""
+        if len(self.members) > STATES:
+            self.forget()
         state, stem = self.start, None
         for c in word:
             if state < 0:
@@ -259,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lex
     least = max(3, size[1] // 100)
     counts = written(rows.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-terms")
     odds = F.col("toxic") / float(size[1]) / ((F.col("clean") + 0.5) / float(size[0]))
-    candidates = {r.term: r.toxic for r in counts.where((F.col("toxic") >= least) & (odds > 20) & (F.length("term") > 3)).orderBy(F.desc("toxic"), "term").limit(200_000).collect()}
+    candidates = {r.term: r.toxic for r in counts.where((F.col("toxic") >= least) & (odds > 20) & (F.length("term") > 3)).collect()}
     end = settle(candidates)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

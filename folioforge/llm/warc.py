@@ -2,14 +2,16 @@
 
 Records are range-sorted by id. Every partition writes gzip members, one a record, and rolls to a new file when the
 compressed size is reached. Headers are made anew from the payload: digests, lengths, record ids that follow from the
-content, a fixed date; so the same rows give the same bytes. A file is written under a temporary name of the attempt
+content, a fixed date; so the same rows in the same ranges give the same bytes, whatever their order before. (Where
+files begin follows from the ranges, which Spark samples for the number of partitions of the session.) A file is written under a temporary name of the attempt
 and renamed when whole: a task that is run again replaces it with the same bytes. The manifest, written after all
 tasks, names the files that count, with their size and digest; readers follow only the manifest.
 
 Of records with equal payloads of MIN_REVISIT bytes or more, the one with the largest id is a response and the others
 revisit it; smaller ones are all responses. Null payloads are empty. Null urls are written as an empty target. Rows
 that repeat an id are each written; of equal payloads with the same largest id each such row is the response.
-Rows without an id are written as responses, as nothing could refer to them. An empty table gives an empty manifest.
+Rows without an id are written as responses, as nothing could refer to them. Very long payloads are records like others, held one at a
+time. Other columns are not read, so their names clash with nothing. An empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -122,7 +124,7 @@ def write_warc(pages: DataFrame, repeats: DataFrame, uri: str, roll_bytes: int =
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
     rows = pages.unionByName(repeats, allowMissingColumns=True)
-    ordered = rows.repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("sha256").isNull(), "url", F.length("html"))
+    ordered = rows.repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("sha256").isNull(), "url", "html")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{uri}/_manifest")
     return rows.sparkSession.read.schema(MANIFEST).parquet(f"{uri}/_manifest")
 
