@@ -221,24 +221,91 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 50 for i in range(50, 81)}, 90: 90, 91: 90}
 
 
-def test_passages_against_brute_force(spark):
-    p, q = prose(1, 51), prose(2, 130)
-    rows = [(i, prose(50 + i, 80)) for i in range(20)]
-    rows += [(30, prose(60, 9) + " " + p + " " + prose(61, 40)), (31, p), (32, prose(62, 30) + " " + p), (33, q + " " + q), (34, prose(63, 20) + " " + q[: len(q) // 2])]
-    rows += [(40, " ".join(prose(2, 130).split()[:49])), (41, None), (42, ""), (None, q), (43, "w " * 120), (31, p), (44, prose(64, 60) + "\n" + p)]
-    where, covered, words = defaultdict(set), defaultdict(set), {}
+def brute_passages(rows):
+    """The words of each document that are in a window of LEAST words that occurs twice, and the places of each such window."""
+    where, covered = defaultdict(set), defaultdict(set)
     for i, t in rows:
         if i is not None:
-            w = words[i] = (t or "").split()
+            w = (t or "").split()
             for a in range(len(w) - S.LEAST + 1):
                 where[tuple(w[a : a + S.LEAST])].add((i, a))
-    for places in where.values():
-        if len(places) > 1:
-            for i, a in places:
-                covered[i].update(range(a, a + S.LEAST))
+    places = [p for p in where.values() if len(p) > 1]
+    for p in places:
+        for i, a in p:
+            covered[i].update(range(a, a + S.LEAST))
+    return dict(covered), places
+
+
+def passages(spark, rows, cut=None):
+    docs = table(spark, rows)
+    found = S.repeated_passages(docs.repartition(cut) if cut else docs).collect()
     got = defaultdict(set)
-    found = S.repeated_passages(table(spark, rows)).collect()
     for r in found:
         got[r.doc_id].update(range(r.start_word, r.end_word))
-    assert got == {i: c for i, c in covered.items() if c}
+    return dict(got), found
+
+
+def kept_once(found, places):
+    """Of every repeated window, each word of some occurrence is left if what repeats is deleted."""
+    gone = defaultdict(set)
+    for r in found:
+        if r.repeats:
+            gone[r.doc_id].update(range(r.start_word, r.end_word))
+    for r in found:
+        if not r.repeats:
+            gone[r.doc_id] -= set(range(r.start_word, r.end_word))
+    return all(any(not gone[i] & set(range(a, a + S.LEAST)) for i, a in p) for p in places)
+
+
+def test_passages_against_brute_force(spark):
+    p, q = prose(1, 51), prose(2, 130)
+    rows = [(i, prose(50 + i, 80)) for i in range(20)]
+    rows += [(30, prose(60, 9) + " " + p + " " + prose(61, 40)), (31, p), (32, prose(62, 30) + " " + p), (33, q + " " + q), (34, prose(63, 20) + " " + q[: len(q) // 2])]
+    rows += [(40, " ".join(prose(2, 130).split()[:49])), (41, None), (42, ""), (None, q), (43, "w " * 120), (31, p), (44, prose(64, 60) + "\n" + p)]
+    want, places = brute_passages(rows)
+    got, found = passages(spark, rows)
+    assert got == want and kept_once(found, places)
     assert not any(r.repeats for r in found if r.doc_id == 30) and all(r.repeats for r in found if r.doc_id in (32, 44))
+
+
+def test_first_is_of_the_passage(spark):
+    """The minimiser's words stand alone in earlier documents; of the passage itself the first stays."""
+    p = prose(5, 60).split()
+    rows = [(i, prose(300 + i, 55) + " " + " ".join(p[max(0, i - 3) : i + 22]) + " " + prose(400 + i, 55)) for i in range(0, 48, 4)]
+    rows += [(100, prose(7, 30) + " " + " ".join(p)), (101, " ".join(p) + " " + prose(8, 30))]
+    got, found = passages(spark, rows)
+    assert got == brute_passages(rows)[0] and {r.doc_id: r.repeats for r in found} == {100: False, 101: True}
+
+
+@pytest.mark.parametrize("batch,partitions", [(16, 1), (10_000, 40)])
+def test_crowded_minimiser(spark, batch, partitions):
+    """Repeats that end with a line of many texts are found whatever the batches and partitions."""
+    line = prose(9, 14)
+    rows = [(i, prose(600 + i, 50) + " " + line + (" " + prose(5000 + i, 3) if i % 3 else "")) for i in range(250)]
+    for k in range(20):
+        own = prose(9000 + k, 45)
+        rows += [(1000 + 2 * k, prose(7000 + k, 9) + " " + own + " " + line), (1001 + 2 * k, own + " " + line + " " + prose(8000 + k, 4))]
+    rows += [(2000 + i, prose(9500, 40) + " " + line + " " + prose(9600 + i, 2)) for i in range(3)]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got, found = passages(spark, rows)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    want, places = brute_passages(rows)
+    assert got == want and kept_once(found, places)
+    assert sum(i >= 1000 for i in got) >= 40
+
+
+def test_real_passages(spark):
+    from conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = defaultdict(set)
+    for r in S.repeated_passages(docs).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    text = [(i, re.sub(r"[^\x20\x09-\x0D]+", lambda m: "x" + m[0].encode("utf-8").hex(), t or "")) for i, t in rows]  # words by white space of ASCII alone
+    assert dict(got) == brute_passages(text)[0]
