@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import math
 import shutil
 import tempfile
@@ -48,7 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if _open:
         _open[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that were written and are needed no more, and has Spark look for shuffle files that nothing needs any more."""
+    spark = tables[0].sparkSession
+    deleted(spark, [t.written_at for t in tables])
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def deleted(spark: SparkSession, paths: list[str]) -> None:

@@ -1,17 +1,20 @@
 """Quality by co-training two views of a document.
 
-The content view sees the text: shares of characters, word lengths, repeated words and lines. The metadata view sees
-what stands beside it: source, language, stated length. Each is a logistic model. Over some rounds each labels those
-documents of an unlabelled pool that it is sure of, for the other to learn from. A fold that neither learned from
-calibrates both, and a last logistic model over the two calibrated scores weighs them for all documents.
+The content view sees the text: shares of characters, hashed words, word lengths, repeated words and lines. The metadata
+view sees what stands beside it: source, language, stated length. Each is a logistic model. In each of ROUNDS rounds every
+view scores all documents that are not in the sample of labelled ones. Of those that it is surer of than the other view is,
+it hands the EACH that it ranks highest and the EACH that it ranks lowest, none twice, to the other view to learn from, with
+its calibrated probabilities as labels: a view that knows little is seldom the surer one. A fold that neither learned from calibrates both,
+and a last logistic model over the two calibrated scores weighs them for all documents.
 
-Training holds at most SAMPLE labelled and POOL unlabelled documents, chosen by a hash of the id; all documents are
-scored, by their whole texts. A view that knows little stays near the base rate after calibration and so labels
-nothing: its confidence is that of the calibration fold.
+Both views of all documents are computed once and written as a table; rounds and scores read that. Bounds: at most SAMPLE
+labelled documents, chosen by a hash of the id, and 4 x EACH others a round come to the driver, each id once, however often
+it is repeated; nothing else does.
 
 Null counts as the empty text; null metadata is a value of its own. Without labels of both kinds all scores are 1.
-An id labelled more than once has the least of its labels. Repeated rows are scored each for itself. The text is
-compared with nothing but itself, so an empty table gives an empty result.
+An id labelled more than once has the least of its labels. Repeated rows are scored each for itself; of rows with
+the same id one (the least by its views) is learned from. Very long texts count by their whole length. Other columns are not
+read, so their names clash with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,19 +24,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import mix64, pieces, table, tidy, written
+from .words import chunks, hashed_words
 
-SAMPLE, POOL = 20_000, 20_000
-ROUNDS, SURE, EACH = 4, 0.97, 400
+SAMPLE = 20_000
+ROUNDS, EACH = 4, 400
 KEEP = 0.5
 SOURCES, LANGS, SIZES = 64, 16, 24
-CONTENT, META = 128 + 14, SOURCES + LANGS + SIZES + 1
+WORDS = 256
+FIGURES = 128 + 14
+CONTENT, META = FIGURES + WORDS, SOURCES + LANGS + SIZES + 1
 
 
-def content(text: str) -> np.ndarray:
+def figures(text: str) -> np.ndarray:
     """Square roots of the shares of all ASCII characters, and figures about words and lines."""
     raw = text.encode("utf-8", "replace")
     n = max(1, len(raw))
@@ -45,7 +51,7 @@ def content(text: str) -> np.ndarray:
     lower = counts[97:123].sum()
     distinct = len(set(words))
     pairs = len(set(zip(words, words[1:], strict=False)))
-    out = np.empty(CONTENT)
+    out = np.empty(FIGURES)
     out[:128] = np.sqrt(counts[:128] / n)
     out[128:] = (
         np.sqrt(counts[128:].sum() / n), upper / max(1, upper + lower), (n - upper - lower - counts[128:].sum() - counts[32] - counts[10]) / n,
@@ -62,12 +68,26 @@ def metadata(source: str | None, lang: str | None, n_chars: int | None) -> list[
     return [place(source, SOURCES), SOURCES + place(lang, LANGS), SOURCES + LANGS + size, META - 1]
 
 
-def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    a = np.array([content(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, CONTENT)
-    b = np.zeros((batch.num_rows, META))
-    for i, v in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)):
-        b[i, metadata(*v)] = 1
-    return a, b
+def words_of(texts: list[str]) -> np.ndarray:
+    """Square roots of the shares of words by hash."""
+    out = []
+    for part in chunks([t.lower() for t in texts]):
+        words, first, *_ = hashed_words(part)
+        of = np.repeat(np.arange(len(part)), np.diff(first))
+        n = np.bincount(of * WORDS + (mix64(words.copy()) >> np.uint64(56)).astype(np.int64) % WORDS, minlength=len(part) * WORDS).reshape(-1, WORDS)
+        out.append(np.sqrt(n / np.maximum(1, n.sum(axis=1, keepdims=True))))
+    return np.concatenate(out) if out else np.empty((0, WORDS))
+
+
+def content(texts: list[str]) -> np.ndarray:
+    return np.hstack([np.array([figures(t) for t in texts]).reshape(-1, FIGURES), words_of(texts)])
+
+
+def ones(places: list[list[int]]) -> np.ndarray:
+    out = np.zeros((len(places), META))
+    for i, p in enumerate(places):
+        out[i, p] = 1
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -103,71 +123,132 @@ class Model:
         return sigmoid(raw_score(both, self.joint))
 
 
-def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
-    """x, y: labelled documents, of which those in fold only calibrate. pool: unlabelled ones.
+Views = tuple[np.ndarray, np.ndarray]
+#: Asked with both views' weights and calibrations, gives for each view what it is surest of: both views of these, and its probabilities.
+Ask = Callable[[list[np.ndarray], list[np.ndarray]], list[tuple[Views, np.ndarray]]]
+
+
+def calibrated(x: Views, i: int, view: list[np.ndarray], calibration: list[np.ndarray]) -> np.ndarray:
+    return sigmoid(raw_score(raw_score(x[i], view[i])[:, None], calibration[i]))
+
 
-    In every round the sure documents of one view (up to EACH of a label, the surest first) join what the other learns
-    from; each document goes once to a view.
-    """
+def surer(p: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.abs(p - 0.5) > np.abs(other - 0.5)
+
+
+def co_train(x: Views, y: np.ndarray, fold: np.ndarray, ask: Ask | None, rounds: int = ROUNDS) -> Model:
+    """x, y: labelled documents, of which those in fold only calibrate. What one view is surest of the other learns from."""
     learn = ~fold
-    own = [(x[i][learn], y[learn]) for i in range(2)]
-    more: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    given = [np.zeros(len(pool[0]), bool) for _ in range(2)]
+    learned = [[(x[i][learn], y[learn])] for i in range(2)]
     for step in range(rounds + 1):
-        view = [fit(np.concatenate([own[i][0], *(m[0] for m in more[i])]), np.concatenate([own[i][1], *(m[1] for m in more[i])]), 0.1 if i == 0 else 3.0) for i in range(2)]
+        view = [fit(*map(np.concatenate, zip(*learned[i], strict=True)), 0.1 if i == 0 else 3.0) for i in range(2)]
         calibration = [fit(raw_score(x[i][fold], view[i])[:, None], y[fold], 1e-2) for i in range(2)]
-        if step == rounds or not len(pool[0]):
+        if step == rounds or ask is None:
             break
-        for i in range(2):
-            p = sigmoid(raw_score(raw_score(pool[i], view[i])[:, None], calibration[i]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")
-                best = best[(sure[best] >= SURE) & ~given[i][best]][:EACH]
-                given[i][best] = True
-                more[1 - i].append((pool[1 - i][best], np.full(len(best), label)))
+        for i, (found, p) in enumerate(ask(view, calibration)):
+            learned[1 - i].append((found[1 - i], p))
     both = np.stack([raw_score(raw_score(x[i][fold], view[i])[:, None], calibration[i]) for i in range(2)], axis=1)
     return Model(view, calibration, fit(both, y[fold], 1.0))
 
 
-COLUMNS = ["text", "source", "lang", "n_chars"]
+SEEN = "doc_id long, tie long, content binary, places array<int>"
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = views(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *(pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary()) for x in (a, b))], names=["doc_id", "quality", "content", "metadata"])
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model | None:
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    others = docs.where("doc_id IS NOT NULL").select("doc_id").join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    asked = written(chosen.unionByName(others.withColumn("quality", F.lit(None).cast("int"))), "cotrain-ids")  # sample + pool rows
-    rows = docs.join(F.broadcast(asked), "doc_id").mapInArrow(_views, "doc_id long, quality int, content binary, metadata binary").toArrow().sort_by([("doc_id", "ascending"), ("content", "ascending")])
-    x = [np.frombuffer(b"".join(rows[c].to_pylist()), np.float32).reshape(-1, n).astype(float) for c, n in (("content", CONTENT), ("metadata", META))]
-    quality = rows["quality"].to_pylist()
-    has = np.array([q is not None for q in quality], bool)
-    y = np.array([q > 0 for q in quality if q is not None], float)
-    fold = np.array([zlib.crc32(str(d).encode()) % 4 == 2 for d, h in zip(rows["doc_id"].to_pylist(), has, strict=True) if h], bool)
+        for piece in pieces(batch):
+            a = content([t or "" for t in piece.column("text").to_pylist()]).astype(np.float16)
+            b = [metadata(*v) for v in zip(*(piece.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tie"), pa.array([r.tobytes() for r in a], pa.binary()), pa.array(b, pa.list_(pa.int32()))], names=[c.split()[0] for c in SEEN.split(", ")])
+
+
+def _both(batch: pa.RecordBatch | pa.Table) -> Views:
+    a = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.float16).reshape(-1, CONTENT).astype(np.float32)
+    return a, ones(batch.column("places").to_pylist())
+
+
+def _ranked(view: list[np.ndarray], calibration: list[np.ndarray], given: list[frozenset[int]], each: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(list, doc_id, p, tie): of what a task sees, the surest of each view and label (list: 2 * view, and 1 more for the lowest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {k: (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)) for k in range(4)}
+        for batch in batches:
+            x, ids, tie = _both(batch), batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy()
+            both = [calibrated(x, i, view, calibration) for i in range(2)]
+            for i in range(2):
+                p = both[i]
+                free = surer(p, both[1 - i]) & ~np.isin(ids, np.array(sorted(given[i]), np.int64))
+                for label in range(2):
+                    k = 2 * i + label
+                    d, q, t = (np.concatenate(c) for c in zip(best[k], (ids[free], p[free], tie[free]), strict=True))
+                    _, one = np.unique(d, return_index=True)
+                    d, q, t = d[one], q[one], t[one]
+                    order = np.lexsort((t, q if label else -q))[:each]
+                    best[k] = d[order], q[order], t[order]
+        columns = [np.concatenate([best[k][c] for k in range(4)]) for c in range(3)]
+        lists = np.repeat(np.arange(4), [len(best[k][0]) for k in range(4)])
+        yield pa.RecordBatch.from_arrays([pa.array(lists), *map(pa.array, columns)], names=["list", "doc_id", "p", "tie"])
+
+    return run
+
+
+def _fetched(seen: DataFrame, ids: list[int]) -> dict[int, tuple[bytes, list[int]]]:
+    """The views of a bounded number of ids, each id once."""
+    asked = F.broadcast(seen.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
+    rows = seen.join(asked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("content", "places")).alias("v"))
+    return {r.doc_id: (bytes(r.v.content), r.v.places) for r in rows.collect()}
+
+
+def _arrays(found: list[tuple[bytes, list[int]]]) -> Views:
+    return np.frombuffer(b"".join(f[0] for f in found), np.float16).reshape(-1, CONTENT).astype(np.float32), ones([f[1] for f in found])
+
+
+def train(seen: DataFrame, labels: DataFrame, sample: int = SAMPLE, each: int = EACH, rounds: int = ROUNDS) -> Model | None:
+    """seen: both views of all documents, as a table."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    chosen = {r.doc_id: r.quality for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
+    if not chosen:
+        return None
+    found = _fetched(seen, sorted(chosen))
+    ids = sorted(found)
+    x, y = _arrays([found[i] for i in ids]), np.array([chosen[i] > 0 for i in ids], float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in ids], bool)
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
         return None
-    return co_train((x[0][has], x[1][has]), y, fold, (x[0][~has], x[1][~has]))
+    given = [frozenset(ids), frozenset(ids)]
+    pool = seen.where("doc_id IS NOT NULL")
+
+    def ask(view: list[np.ndarray], calibration: list[np.ndarray]) -> list[tuple[Views, np.ndarray]]:
+        ranked = pool.mapInArrow(_ranked(view, calibration, given, each), "list long, doc_id long, p double, tie long").distinct()
+        order = Window.partitionBy("list").orderBy(F.when(F.col("list") % 2 == 0, -F.col("p")).otherwise(F.col("p")), "tie", "doc_id")
+        rows = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).collect()  # 4 * each rows
+        views = _fetched(pool, sorted({r.doc_id for r in rows})) if rows else {}
+        out = []
+        for i in range(2):
+            mine = sorted({(r.doc_id, r.p) for r in rows if r.list // 2 == i})
+            given[i] = given[i] | {d for d, _ in mine}
+            out.append((_arrays([views[d] for d, _ in mine]), np.array([p for _, p in mine])))
+        return out
+
+    return co_train(x, y, fold, ask, rounds)
 
 
 def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.ones(batch.num_rows) if model is None else model.score(views(batch))
+            score = np.ones(batch.num_rows) if model is None else model.score(_both(batch)).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> DataFrame:
+@tidy
+def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, each: int = EACH, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, score (probability of good quality), kept (score of KEEP or more)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    model = train(docs, labels.select("doc_id", "quality"), sample, pool)
-    return docs.mapInArrow(_scorer(model), "doc_id long, score double").withColumn("kept", F.col("score") >= KEEP)
+    seen = written(docs.withColumn("tie", F.xxhash64(F.lit("cotrain"), "doc_id")).mapInArrow(_views, SEEN), "views")
+    model = train(seen, labels.select("doc_id", "quality"), sample, each, rounds)
+    return seen.mapInArrow(_scorer(model), "doc_id long, score double").withColumn("kept", F.col("score") >= KEEP)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,39 @@
 """Secrets in whole texts, also inside nested encodings.
 
-The worklist starts with the text. Each layer is scanned for secrets and for encoded runs: percent escapes, Unicode
-and character-reference escapes, base64 (plain or URL alphabet, also wrapped into lines), and what decompresses (zlib, gzip) after base64.
-Decoded runs are new layers until none is new; a set of the layers seen breaks cycles. For every character of a layer
+The worklist starts with the text. Each layer is scanned for secrets and unwrapped further: escapes (percent, Unicode,
+character references), base64 (plain or URL alphabet, also wrapped into lines, also after a slash), and what
+decompresses (zlib, raw deflate, gzip and bzip2 of any number of members, xz) after base64, as UTF-8 or UTF-16.
+Layers are unwrapped until none is new; a set of digests of the layers seen breaks cycles. For every character of a layer
 the place in the original text that it came from is kept, so a secret in any layer is reported where its encoded form
 stands in the document. Matches of the text itself always stay as they are.
 
-Null counts as the empty text. Repeated documents are scanned each for itself. A compressed layer that would grow
-beyond MAX_INFLATED characters is scanned up to there (a bomb must not end the task); plain layers have no bound.
+Escapes within escapes are taken to their fixpoint in one pass over a stack of characters: however deep they are nested,
+the work grows with the length of the text. No layer in between shows more: escapes hold characters that no secret
+holds, so what a layer shows is still there when the escapes beside it are decoded. A base64 layer is shorter than its
+code, so nested ones add up to a few times the text.
+
+Null counts as the empty text. Very long texts are scanned whole. Repeated documents are scanned each for itself. A
+compressed layer that would grow beyond MAX_INFLATED bytes is scanned up to there (a bomb must not end the task); plain
+layers have no bound. Other columns are not read, so their names clash with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -33,9 +43,13 @@ KEYS = ("password", "passwd", "secret", "token", "api")
 MAX_INFLATED = 64 << 20
 
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
-ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-REFERENCE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
+REFERENCE = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));\Z")
+BRACED = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}\Z")
+RAW = re.compile("[\udc80-\udcff]+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
+SEGMENT = re.compile(r"[A-Za-z0-9+_-]{12,}={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -58,91 +72,144 @@ def base_spans(text: str) -> list[Span]:
 class Layer:
     """A decoded text and where it comes from: starts and ends in the original, one pair for each character, or one pair for all."""
 
-    def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range) -> None:
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray) -> None:
         self.text, self.starts, self.ends = text, starts, ends
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if len(self.starts) == 1:
-            return self.starts[0], self.ends[0]
-        return min(self.starts[start:end]), max(self.ends[start:end])
-
-
-def _replaced(layer: Layer, start: int, end: int, pieces: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
-    """The run from start to end of a layer with some pieces decoded; each piece has a place for every decoded character."""
-    text, starts, ends, at = [], [], [], start
-    for a, b, decoded, places in [*pieces, (end, end, "", [])]:
-        text.append(layer.text[at:a])
-        for i in range(at, a):
-            p, q = layer.place(i, i + 1)
-            starts.append(p)
-            ends.append(q)
-        text.append(decoded)
-        for i, j in places:
-            p, q = layer.place(i, j)
-            starts.append(p)
-            ends.append(q)
-        at = b
-    return Layer("".join(text), starts, ends)
-
-
-def _utf8_places(raw: bytes, step: int, at: int) -> tuple[str, list[tuple[int, int]]]:
-    """The text of bytes that take step characters each from at on, and the place of every character of it."""
-    text = raw.decode("utf-8")
-    places, i = [], at
-    for c in text:
-        j = i + step * len(c.encode("utf-8"))
-        places.append((i, j))
-        i = j
-    return text, places
-
-
-def _runs(escape: re.Pattern, text: str) -> Iterator[tuple[int, int, list[re.Match]]]:
-    """The whole text (a key and its value may have white space between) and the runs without white space that hold escapes, and these."""
-    if escape.search(text):
-        yield 0, len(text), list(escape.finditer(text))
-        for run in RUN.finditer(text):
-            if found := list(escape.finditer(text, *run.span())):
-                yield *run.span(), found
-
-
-def percent_layers(layer: Layer) -> Iterator[Layer]:
-    for start, end, found in _runs(ESCAPED, layer.text) if "%" in layer.text else ():
-        pieces = []
-        for m in found:
-            try:
-                pieces.append((m.start(), m.end(), *_utf8_places(bytes.fromhex(m[0].replace("%", "")), 3, m.start())))
-            except UnicodeDecodeError:
-                raw = bytes.fromhex(m[0].replace("%", ""))
-                pieces.append((m.start(), m.end(), raw.decode("latin-1"), [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(raw))]))
-        yield _replaced(layer, start, end, pieces)
+            return int(self.starts[0]), int(self.ends[0])
+        return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
-
-def unicode_layers(layer: Layer) -> Iterator[Layer]:
-    for start, end, found in _runs(REFERENCE, layer.text) if "\\" in layer.text or "&#" in layer.text else ():
-        pieces = []
-        for m in found:
-            code = int(m[3]) if m[3] else int(m[1] or m[2] or m[4], 16)
+    def places(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of stretches of characters from start to end: where their first comes from, and their last."""
+        if len(self.starts) == 1:
+            return np.repeat(self.starts, len(starts)), np.repeat(self.ends, len(starts))
+        return self.starts[starts], self.ends[ends - 1]
+
+
+def _decoded(chars: list[str]) -> tuple[str, int] | None:
+    """The character that an escape at the end of chars stands for, and its length; bytes beyond ASCII stand apart for now."""
+    last = chars[-1]
+    if last in HEXADECIMAL:
+        for mark, digits in (("%", 2), ("\\x", 2), ("\\u", 4)):
+            n = len(mark) + digits
+            if len(chars) >= n and chars[-n] == mark[0] and "".join(chars[-n:-digits]) == mark and HEXADECIMAL.issuperset(chars[-digits:]):
+                code = int("".join(chars[-digits:]), 16)
+                if mark == "%" and code > 127:
+                    code += 0xDC00
+                elif 0xD800 <= code <= 0xDFFF:
+                    return None
+                return chr(code), n
+    elif last in ";}":
+        found = (REFERENCE if last == ";" else BRACED).search("".join(chars[-10:]))
+        if found:
+            code = int(found[1]) if last == ";" and found[1] else int(found[found.lastindex], 16)
             if code < 0xD800 or 0xDFFF < code < 0x110000:
-                pieces.append((m.start(), m.end(), chr(code), [m.span()]))
-        if pieces:
-            yield _replaced(layer, start, end, pieces)
+                return chr(code), len(found[0])
+    return None
+
+
+def _unescaped(run: str, begin: int) -> tuple[str, list[int], list[int]]:
+    """A run without white space with its escapes decoded to their fixpoint, and the start and end of each character in the layer, where the run begins at begin."""
+    chars: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for i, c in enumerate(run, begin):
+        chars.append(c)
+        starts.append(i)
+        ends.append(i + 1)
+        while (found := _decoded(chars)) is not None:
+            first, last = starts[-found[1]], ends[-1]
+            for x in (chars, starts, ends):
+                del x[-found[1] :]
+            chars.append(found[0])
+            starts.append(first)
+            ends.append(last)
+    text = "".join(chars)
+    if RAW.search(text):
+        parts, s, e, at = [], [], [], 0
+        for m in RAW.finditer(text):
+            raw = bytes(ord(c) - 0xDC00 for c in m[0])
+            try:
+                piece = raw.decode("utf-8")
+                size = [len(c.encode("utf-8")) for c in piece]
+            except UnicodeDecodeError:
+                piece, size = raw.decode("latin-1"), [1] * len(raw)
+            parts += [text[at : m.start()], piece]
+            s += starts[at : m.start()]
+            e += ends[at : m.start()]
+            k = m.start()
+            for n in size:
+                s.append(starts[k])
+                e.append(ends[k + n - 1])
+                k += n
+            at = m.end()
+        text, starts, ends = "".join([*parts, text[at:]]), s + starts[at:], e + ends[at:]
+    return text, starts, ends
+
+
+def escape_layers(layer: Layer) -> Iterator[Layer]:
+    """The whole layer (a key and its value may have white space between) with all escapes decoded."""
+    if not ESCAPE.search(layer.text):
+        return
+    text, starts, ends, at = [], [], [], 0
+    for m in RUN.finditer(layer.text):
+        if ESCAPE.search(layer.text, *m.span()):
+            new, s, e = _unescaped(m[0], m.start())
+            text += [layer.text[at : m.start()], new]
+            starts += [np.arange(at, m.start()), np.array(s, np.int64)]
+            ends += [np.arange(at + 1, m.start() + 1), np.array(e, np.int64)]
+            at = m.end()
+    n = len(layer.text)
+    text.append(layer.text[at:])
+    starts, ends = np.concatenate([*starts, np.arange(at, n)]), np.concatenate([*ends, np.arange(at + 1, n + 1)])
+    yield Layer("".join(text), *layer.places(starts, ends))
+
+
+def _members(raw: bytes, make) -> bytes:
+    """What members one after the other decompress to, up to MAX_INFLATED."""
+    out = b""
+    while raw and len(out) < MAX_INFLATED:
+        z = make()
+        out += z.decompress(raw, MAX_INFLATED - len(out))
+        raw = z.unused_data if z.eof else b""
+    return out
 
 
 def _inflated(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-        try:
-            return zlib.decompressobj(47).decompress(raw, MAX_INFLATED)
-        except zlib.error:
-            return None
-    return None
+    for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"x", lambda: zlib.decompressobj(15)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor)):
+        if raw.startswith(magic):
+            try:
+                if found := _members(raw, make):
+                    return found
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                pass
+    z = zlib.decompressobj(-15)
+    try:
+        found = z.decompress(raw, MAX_INFLATED)
+    except zlib.error:
+        return None
+    return found if z.eof and not z.unused_data and _readable(found) is not None else None
 
 
 def _readable(raw: bytes) -> str | None:
+    """UTF-8, or UTF-16 where every other byte is mostly zero or a mark says so, of printable characters."""
+    code = "utf-8"
+    if len(raw) % 2 == 0 and len(raw) >= 4:
+        if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            code = "utf-16"
+        elif 4 * raw[1::2].count(0) > len(raw):
+            code = "utf-16-le"
+        elif 4 * raw[::2].count(0) > len(raw):
+            code = "utf-16-be"
     try:
-        text = raw.decode("utf-8")
+        text = raw.decode(code)
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    return text if text and text.translate(PLAIN).isprintable() else None
+
+
+PLAIN = {9: None, 10: None, 13: None}
 
 
 def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -167,20 +234,24 @@ def _base64_layer(layer: Layer, parts: list[tuple[int, int]]) -> Layer | None:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
         return None
-    if (more := _inflated(raw)) is not None:
+    text = _readable(raw)
+    if text is None:
+        more = _inflated(raw)
+        if more is None:
+            return None
         p, q = layer.place(parts[0][0], parts[-1][1])
-        return Layer(more.decode("utf-8", "replace"), [p], [q])
-    if (text := _readable(raw)) is None:
-        return None
-    at = [i for a, b in parts for i in range(a, b)]
-    starts, ends, i = [], [], 0
-    for c in text:
-        j = i + len(c.encode("utf-8"))
-        p, q = layer.place(at[i * 4 // 3], at[min(len(body), -(-j * 4 // 3)) - 1] + 1)
-        starts.append(p)
-        ends.append(q)
-        i = j
-    return Layer(text, starts, ends)
+        plain = _readable(more)
+        return Layer(more.decode("utf-8", "replace") if plain is None else plain, np.array([p]), np.array([q]))
+    at = np.concatenate([np.arange(a, b) for a, b in parts])
+    if len(text) == len(raw):
+        end = np.arange(1, len(raw) + 1)
+    elif len(text.encode("utf-8")) == len(raw):
+        end = np.cumsum([len(c.encode("utf-8")) for c in text])
+    else:  # UTF-16, with or without its mark
+        size = np.array([2 + 2 * (ord(c) > 0xFFFF) for c in text])
+        end = np.cumsum(size) + len(raw) - size.sum()
+    begin = np.concatenate([[0], end[:-1]])
+    return Layer(text, *layer.places(at[begin * 4 // 3], at[np.minimum(len(body), -(-end * 4 // 3)) - 1] + 1))
 
 
 def base64_layers(layer: Layer) -> Iterator[Layer]:
@@ -190,20 +261,27 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
             joined = parts[-1][1]
             yield new
     for run in BASE64.finditer(layer.text):
-        if (new := _base64_layer(layer, [run.span()])) is not None:
-            yield new
+        spans = {run.span()}
+        if "/" in run[0]:  # a slash may belong to the code, or stand before it
+            spans |= {m.span() for m in SEGMENT.finditer(layer.text, *run.span())} | {(layer.text.index("/", run.start()) + 1, run.end())}
+        for a, b in sorted(spans):
+            if b - a >= 12 and (new := _base64_layer(layer, [(a, b)])) is not None:
+                yield new
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The secrets of the text itself, and those of all layers together, as (start, kind, end) in the text."""
     base = base_spans(text)
-    found, seen, work = set(base), {text}, [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    found, seen, work = set(base), set(), []
+    name = lambda layer: hashlib.blake2b(f"{layer.starts[0] if len(layer.starts) else -1} {layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    if ESCAPE.search(text) or BASE64.search(text):
+        work.append(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1)))
+        seen.add(name(work[0]))
     while work:
         layer = work.pop()
-        for decode in (percent_layers, unicode_layers, base64_layers):
+        for decode in (escape_layers, base64_layers):
             for new in decode(layer):
-                key = (new.starts[0], new.text) if new.starts else new.text
-                if key in seen or new.text == layer.text:
+                if (key := name(new)) in seen or new.text == layer.text:
                     continue
                 seen.add(key)
                 work.append(new)
@@ -223,7 +301,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
+            for text in (t for piece in pieces(batch) for t in piece.column(1).to_pylist()):
                 base, every = all_spans(text or "")
                 n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 out.append((*n, hashlib.sha256(as_string(base).encode()).hexdigest(), as_string(every)))

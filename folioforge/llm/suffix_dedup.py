@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, table, tidy, written
+from .common import dropped, mix64, pieces, table, tidy, written
 from .words import NOT_SPACE, chunks, hashed_words
 
 GRAM, WINDOW = 10, 41
@@ -284,8 +284,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = anchors.join(keys, "key").select("doc_id", "text_hash", F.struct("key", "n", "pos", "windows").alias("a")).distinct()
     by_text = kept.groupBy("doc_id", "text_hash").agg(F.collect_list("a").alias("anchors"))
     held = written(docs.join(by_text, "doc_id").mapInArrow(_suffixes, HELD), "suffixes")
+    dropped(anchors, keys)
     order = ["key", "following", "doc_id", "pos", "preceding"]
     compared = written(held.repartitionByRange(*order[:4]).sortWithinPartitions(*order).mapInArrow(_compare, FOUND), "found")
+    dropped(held)
     handed = compared.where("windows IS NOT NULL").select("doc_id", F.col("one").alias("core"), "windows", "starts")
     cores = written(handed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
     windows = handed.join(cores, "core").select("doc_id", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("doc_id", F.col("w.windows").alias("one"), F.col("w.starts").alias("start")).distinct()

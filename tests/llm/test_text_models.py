@@ -119,17 +119,45 @@ def test_quality(spark):
         assert len(found) == len(odd) and all(0 <= r.score <= 1 for r in found)
 
 
-def test_views_teach_each_other():
-    """One view is given almost no labels that tell its clusters apart; the other view's confidence supplies them."""
+def test_views_teach_each_other(spark):
+    """With a few labels among many useless figures each view learns from the other; without the exchange both stay behind."""
     rng = np.random.default_rng(3)
-    y = rng.integers(0, 2, 2400)
-    a = np.stack([y * 4.0 - 2 + rng.normal(size=2400), rng.normal(size=2400)], axis=1)
-    b = np.stack([y * 3.0 - 1.5 + rng.normal(size=2400), np.ones(2400)], axis=1)
-    known = np.zeros(2400, bool)
-    known[:60] = True
-    fold = np.arange(60) % 3 == 0
-    with_pool = C.co_train((a[:60], b[:60]), y[:60].astype(float), fold, (a[60:], b[60:]))
-    assert np.mean((with_pool.score((a[60:], b[60:])) >= 0.5) == y[60:]) > 0.97
+    n, few = 4000, 60
+    y = rng.integers(0, 2, n)
+    a, b = (np.hstack([(y * 3.0 - 1.5 + rng.normal(size=n))[:, None], rng.normal(size=(n, 40))]) for _ in range(2))
+    fold = np.arange(few) % 3 == 0
+    x, pool = (a[:few], b[:few]), (a[few:], b[few:])
+    given = [np.zeros(n - few, bool) for _ in range(2)]
+
+    def ask(view, calibration):
+        out = []
+        for i in range(2):
+            p, other = (C.calibrated(pool, k, view, calibration) for k in (i, 1 - i))
+            order = [k for k in np.argsort(p) if not given[i][k] and C.surer(p, other)[k]]
+            chosen = np.array(order[:100] + order[-100:])
+            given[i][chosen] = True
+            out.append(((pool[0][chosen], pool[1][chosen]), p[chosen]))
+        return out
+
+    accuracy = lambda m: np.mean((m.score(pool) >= 0.5) == y[few:])
+    alone, together = (accuracy(C.co_train(x, y[:few].astype(float), fold, ask_, 4)) for ask_ in (None, ask))
+    assert together > alone + 0.02, (alone, together)
+    assert all(g.sum() > 300 for g in given)
+
+
+def test_exchange_over_a_table(spark):
+    """Both views hand over, none of it twice, and repeated ids bring one row each; switched off, scores differ."""
+    rows = quality_rows(900)
+    d = spark.createDataFrame([(i % 800, t, "en", "spam" if not q and i % 2 else "web", len(t), 0.5, "x") for i, t, q in rows], DOCS)
+    known = labels(spark, [(i, q, None) for i, _, q in rows if i < 60])
+    asked, real = [], C._fetched
+    try:
+        C._fetched = lambda seen, ids: asked.append(ids) or real(seen, ids)
+        scores = {r: {x.doc_id: x.score for x in C.quality(d, known, each=30, rounds=r).where("doc_id > 100").collect()} for r in (2, 0)}
+    finally:
+        C._fetched = real
+    assert [len(x) for x in asked][0] == 60 and all(30 <= len(x) <= 120 for x in asked[1:3]) and not set(asked[1]) & set(asked[0])
+    assert max(abs(scores[0][i] - scores[2][i]) for i in scores[0]) > 0.001
 
 
 def brute_base(text):
@@ -211,6 +239,35 @@ def test_wrapped_base64():
             assert any("\n" in f for f in found)
 
 
+def test_more_layers():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import zlib
+
+    secret = "password = hunter22secret"
+    raw = secret.encode()
+    deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = [gzip.compress(b"nothing here") + gzip.compress(raw), bz2.compress(b"nothing") + bz2.compress(raw), lzma.compress(raw), deflate.compress(raw * 3) + deflate.flush(), zlib.compress(raw), secret.encode("utf-16"), secret.encode("utf-16-le"), secret.encode("utf-16-be")]
+    for x in packed:
+        text = "see " + base64.b64encode(x).decode() + " end"
+        assert any(k == 0 and a >= 4 and b <= len(text) - 4 for a, k, b in S.all_spans(text)[1]), x
+    assert S.all_spans("word/" + base64.b64encode(raw).decode())[1][0][0] == 5
+    assert S.all_spans("".join(f"\\u{{{b:x}}}" for b in raw))[1] == [(0, 0, 150)]
+    assert S.all_spans("%C3%A9%70assword%3Dabcdefgh")[1] == [(6, 0, 27)]
+
+
+def test_deep_escapes_take_linear_time():
+    import time
+
+    begin = time.process_time()
+    text = "%" + "25" * 200_000 + "70assword=hunter22"
+    assert (0, 0, len(text)) in S.all_spans(text)[1]
+    S.all_spans("&#37;25" * 50_000 + "\\u005cu005cu0041" * 10_000)
+    assert time.process_time() - begin < 20
+
+
 def test_scan(spark):
     rows = [(1, None), (2, ""), (3, "token: abcdefg " * 20_000), (None, "AKIA" + "B" * 20), (4, "a" * 100_000), (4, "a" * 100_000), (5, "%" * 5000 + " &# \\u12")]
     got = S.scan(docs(spark, rows)).collect()
