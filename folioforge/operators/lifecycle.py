@@ -32,6 +32,13 @@ def is_readable(name: Column) -> Column:
     return T.suffix(name).isin(*(s for v in FORMATS.values() for s in v))
 
 
+def queue_results(queue: DataFrame, results: DataFrame) -> DataFrame:
+    """The queue (name, ...) with what came of each file: state waiting, done or failed, and the message."""
+    found = results.select(F.col("doc").alias("_doc"), "ok", "message")
+    state = F.when(F.col("ok").isNull(), "waiting").when(F.col("ok"), "done").otherwise("failed")
+    return queue.join(found, F.col("name") == F.col("_doc"), "left").withColumn("state", state).drop("_doc", "ok")
+
+
 def queued(files: DataFrame, by: tuple[str, ...] = ("name", "size"), order: str = "seq") -> DataFrame:
     """Readable files, each once: the first of those that agree in by."""
     first = F.row_number().over(Window.partitionBy(*by).orderBy(order))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..settings import DEFAULT, Settings
+from ..staging import staged
 
 NOTE = "note: where a marker names a picture, the page's graphics are kept beside this file under that name."
 
@@ -98,7 +99,7 @@ def stripped_by_lines(pages: DataFrame, keys: DataFrame, settings: Settings = DE
 
 def reduced(pages: DataFrame, settings: Settings = DEFAULT, normaliser=T.nfkc) -> DataFrame:
     """pages (doc, page_no, raw, ...) cleaned and rid of running lines and page numbers."""
-    clean = cleaned(pages, settings, normaliser)
+    clean = staged(cleaned(pages, settings, normaliser), "clean")  # read twice: for the running lines, and to be rid of them
     return stripped(clean, boilerplate(clean, settings), settings)
 
 

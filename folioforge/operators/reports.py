@@ -33,10 +33,41 @@ def doc_results(pages: DataFrame) -> DataFrame:
     return d.withColumn("message", message(F.col("pages"), F.col("images_saved"), F.col("tables_found"), F.col("ocr_pages"), F.col("tokens_out"))).withColumn("ok", F.lit(True))
 
 
+def with_failures(results: DataFrame, problems: DataFrame) -> DataFrame:
+    """results of the documents that were read, with their warnings, and a failed result for each that was not.
+
+    problems (doc, page_no, error): with a page it is a warning of its document, without one the document itself failed.
+    """
+    said = F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": "), F.col("error"))
+    pages = problems.where("page_no IS NOT NULL").groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", said.alias("said")))), lambda x: x.said).alias("warnings"))
+    lost = problems.where("page_no IS NULL").groupBy("doc").agg(F.min("error").alias("error"))
+    lost = lost.select("doc", F.lit(False).alias("ok"), failed_message(F.col("doc"), F.col("error")).alias("message"))
+    none = F.array().cast("array<string>")
+    read = results.join(lost.select("doc"), "doc", "left_anti").join(pages, "doc", "left").withColumn("warnings", F.coalesce("warnings", none))
+    nothing = {c: F.lit(0).cast(kind) for c, kind in results.dtypes if kind in ("bigint", "int", "double")}
+    gone = lost.withColumns(nothing | {"needs_ocr": F.lit(False), "ocr_remaining": F.lit(False), "warnings": none})
+    return read.unionByName(gone.select(*read.columns))
+
+
+def cancelled(docs: DataFrame) -> DataFrame:
+    """Results (doc, ok, message) of documents whose run was ended before they were read."""
+    return docs.select("doc", F.lit(False).alias("ok"), F.lit("Cancelled.").alias("message"))
+
+
+def failed_message(doc: Column, error: Column) -> Column:
+    return F.concat(F.lit("Could not read "), doc, F.lit(": "), error)
+
+
 def warning(d: DataFrame) -> Column:
     return F.when(F.col("needs_ocr"), F.concat(F.col("scanned_pages").cast("string"), F.lit(" of "), F.col("pages").cast("string"), F.lit(" pages are pictures without text; recognise them to read them.")))
 
 
+def warnings_of(d: DataFrame) -> Column:
+    """The warnings of a document's pages, where there are any, and that of its scans."""
+    scans = F.array_compact(F.array(warning(d)))
+    return F.concat(F.col("warnings"), scans) if "warnings" in d.columns else scans
+
+
 def manifest(results: DataFrame, keys: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(doc, manifest) of results and boilerplate keys; lines without a figure are left out."""
     few = keys.groupBy("doc").agg(F.array_sort(F.collect_set("key")).alias("_keys"))
@@ -53,7 +84,7 @@ def manifest(results: DataFrame, keys: DataFrame, settings: Settings = DEFAULT)
     if settings.extract_tables:
         lines += [text("tables kept as grids: ", col("tables_found")), F.when(col("tables_rejected") > 0, text("grids judged not to be tables: ", col("tables_rejected")))]
     read = F.when(col("ocr_pages") > 0, text(", read by OCR: ", col("ocr_pages"))).otherwise("")
-    lines += [F.when(col("scanned_pages") > 0, text("pages with no text layer: ", col("scanned_pages"), read)), listed("running lines removed (# for any number):", col("_keys")), listed("warnings:", F.array_compact(F.array(warning(d))))]
+    lines += [F.when(col("scanned_pages") > 0, text("pages with no text layer: ", col("scanned_pages"), read)), listed("running lines removed (# for any number):", col("_keys")), listed("warnings:", warnings_of(d))]
     return d.select("doc", F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("manifest"))
 
 
@@ -64,7 +95,7 @@ def report_json(results: DataFrame, stats: DataFrame) -> DataFrame:
     d = results.join(scans, "doc", "left").withColumn("scans", F.coalesce(F.col("scans").cast("array<struct<page:int,image:string>>"), none))
     fields = F.struct(
         "ok", "message", "pages", F.col("images_saved").alias("images"), F.col("tables_found").alias("tables"), F.col("scanned_pages").alias("scanned"), "needs_ocr",
-        "tokens_in", "tokens_out", F.round("saving", 4).alias("saving"), F.slice(F.array_compact(F.array(warning(d))), 1, 5).alias("warnings"), "scans",
+        "tokens_in", "tokens_out", F.round("saving", 4).alias("saving"), F.slice(warnings_of(d), 1, 5).alias("warnings"), "scans",
     )
     return d.select("doc", F.to_json(fields).alias("report"))
 

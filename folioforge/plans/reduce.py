@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import assembly, grids, layout, lifecycle, regions, reports
 from ..operators import pages as P
+from ..schemas import PAGE_LAYOUT
 from ..settings import DEFAULT, Settings
-from ..sources import office, plain
+from ..staging import staged, unstaged
+from ..sources import adapters, office, plain
 
 
 @dataclass
 class Reduction:
-    """What a run of pages gives, each as a DataFrame; nothing is computed before it is asked for."""
+    """What a run of pages gives, each as a DataFrame. Pages and keys are staged tables; the rest is computed when asked for."""
 
     pages: DataFrame
     keys: DataFrame
     settings: Settings
+    problems: DataFrame
 
     @property
     def stats(self) -> DataFrame:
@@ -30,7 +33,7 @@ class Reduction:
 
     @property
     def results(self) -> DataFrame:
-        return reports.doc_results(self.pages)
+        return reports.with_failures(reports.doc_results(self.pages), self.problems)
 
     @property
     def markdown(self) -> DataFrame:
@@ -58,11 +61,16 @@ class Reduction:
 
 
 def reduce_pages(layouts: DataFrame, settings: Settings = DEFAULT, supplied: DataFrame | None = None, normaliser=T.nfkc) -> Reduction:
-    """A run over page layouts (see schemas.PAGE_LAYOUT), one row per page; a page with an error is empty but counts.
+    """A run over page layouts (see schemas.PAGE_LAYOUT), one row per page; a page with an error is empty but counts, and
+    warns. A row without page_no is a document that can't be read: it has a failed result and no pages.
 
-    Scans are told by the text as extracted, vector graphics by the text after recognition.
+    Scans are told by the text as extracted, vector graphics by the text after recognition. Layouts are staged, so that
+    files are parsed once, and so are the cleaned pages, which both the running lines and the stripped pages are made of.
     """
     none = F.array()
+    layouts = staged(layouts, "layouts")
+    problems = layouts.where("error IS NOT NULL OR page_no IS NULL").select(F.col("doc_id").alias("doc"), "page_no", F.coalesce("error", F.lit("no pages")).alias("error"))
+    layouts = layouts.where("page_no IS NOT NULL")
     d = layouts.withColumn("doc", F.col("doc_id")).join(layouts.groupBy(F.col("doc_id").alias("doc")).agg(F.count(F.lit(1)).alias("page_count")), "doc")
     failed = F.col("error").isNotNull()
     for c in ("images", "drawings", "blocks", "tables"):
@@ -84,9 +92,11 @@ def reduce_pages(layouts: DataFrame, settings: Settings = DEFAULT, supplied: Dat
     d = lifecycle.with_supplied(d, supplied) if supplied is not None else d.withColumn("ocr", F.lit(False))
     vector = layout.is_vector_heavy(F.length(T.strip(F.col("raw"))), F.size("drawings"), settings) & ~failed
     d = d.withColumn("visual", F.col("whole") | vector).withColumn("figures_saved", F.when(F.col("visual"), 0).otherwise(F.size("figures"))).drop("tables").withColumnRenamed("tables_kept", "tables")
-    clean = P.cleaned(d, settings, normaliser)
-    keys = P.boilerplate(clean, settings)
-    return Reduction(P.marked(P.stripped(clean, keys, settings)), keys, settings)
+    clean = staged(P.cleaned(d, settings, normaliser), "clean")
+    keys = staged(P.boilerplate(clean, settings), "keys")
+    pages = staged(P.marked(P.stripped(clean, keys, settings)), "pages")
+    unstaged(clean)
+    return Reduction(pages, keys, settings, problems)
 
 
 def reduce_bodies(bodies: DataFrame, settings: Settings = DEFAULT, normaliser=T.nfkc) -> DataFrame:
@@ -104,6 +114,21 @@ def office_bodies(blocks: DataFrame) -> DataFrame:
     return n.join(grids.blocks_markdown(blocks), "doc", "left").select("doc", F.coalesce("markdown", F.lit("")).alias("raw"), note.alias("note"))
 
 
+def reduce_paged(spark: SparkSession, path: str, settings: Settings = DEFAULT, reader: Callable[[str, bytes], list[dict]] | None = None) -> DataFrame:
+    """The paged files and pictures under a path, as reduce_files gives them. Without a reader for them, every paged file is a failed result."""
+    files = spark.read.format("binaryFile").load(path)
+    suffix = T.suffix(F.col("path"))
+    pictures = adapters.image_layout(files.where(suffix.isin(*lifecycle.FORMATS["image"])))
+    paged = files.where(suffix.isin(*lifecycle.FORMATS["paged"]))
+    if reader is None:
+        read = paged.select(T.file_name(F.col("path")).alias("doc_id"), F.lit("reading paged formats takes a reader").alias("error"))
+    else:
+        read = adapters.page_layouts(paged, reader)
+    layouts = spark.createDataFrame([], PAGE_LAYOUT).unionByName(pictures, allowMissingColumns=True).unionByName(read, allowMissingColumns=True)
+    run = reduce_pages(layouts, settings)
+    return run.results.join(run.markdown, "doc", "left").select("doc", "ok", "message", "chars_in", "chars_out", "tokens_in", "tokens_out", "saving", "markdown", "needs_ocr", "scanned_pages")
+
+
 def reduce_files(spark: SparkSession, path: str, settings: Settings = DEFAULT) -> DataFrame:
     """The text and office files under a path, as reduce_bodies gives them; files that can't be read come with ok false."""
     blocks = office.read_office(spark, path).withColumnRenamed("doc_id", "doc")

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import lifecycle as L
 from ..operators import pages as P
 from ..operators import reports as R
+from ..schemas import PAGE_LAYOUT
 from ..settings import MODES, Settings
 from ..sources import sinks
 from . import inputs as I
@@ -182,18 +183,32 @@ def joined_text(spark, sf_dir):
     return sinks.joined_text(d, "lang").select("lang", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-_SAID = ["bridge.py returned 404", "SyntaxError: bad token", "no matching distribution", "Failed to fetch", "out of memory", "something else"]
+_SAID = ["AdapterMissing: none", "BadZipFile: File is not a zip file", "ValueError: needs a Password", "PATH_NOT_FOUND", "ExecutorLostFailure", "something else"]
 _MESSAGE = "concat(event_type, ': ', [" + ", ".join(f"'{x}'" for x in _SAID) + "][event_id % 6 + 1])"
 
 
-@query(f"""SELECT event_id, CASE WHEN regexp_matches(m, '(?i)engine\\.py|bridge\\.py|returned 404') THEN 'missing_file' WHEN regexp_matches(m, '(?i)SyntaxError|unterminated|invalid syntax') THEN 'broken_code'
- WHEN regexp_matches(m, '(?i)micropip|wheel|pymupdf|no matching distribution') THEN 'missing_package' WHEN regexp_matches(m, '(?i)NetworkError|Failed to fetch|ERR_|offline') THEN 'network'
- WHEN regexp_matches(m, '(?i)memory|allocat|RangeError') THEN 'memory' ELSE 'unknown' END AS cause FROM (SELECT event_id, {_MESSAGE} AS m FROM events)""")
+@query("SELECT event_id, CASE " + " ".join(f"WHEN regexp_matches(m, '{words}') THEN '{name}'" for name, words in T.CAUSES) + f" ELSE 'unknown' END AS cause FROM (SELECT event_id, {_MESSAGE} AS m FROM events)")
 def failure_cause(spark, sf_dir):
     said = F.concat("event_type", F.lit(": "), F.element_at(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 6 + 1).cast("int")))
     return I.table(spark, sf_dir, "events").select("event_id", T.failure_cause(said).alias("cause"))
 
 
+_BROKEN = f"SELECT doc, count(*) AS pages, max(doc LIKE '%3') AS lost FROM ({I.PAGED}) GROUP BY doc"
+
+
+@query(f"""SELECT doc, NOT lost AS ok, CASE WHEN lost THEN 0 ELSE pages END AS pages, CASE WHEN lost THEN concat('Could not read ', doc, ': no pages') END AS failure,
+ CASE WHEN lost THEN '' ELSE (SELECT coalesce(string_agg(concat('page ', p.page_no, ': broken'), '+' ORDER BY p.page_no), '') FROM ({I.PAGED}) p WHERE p.doc = b.doc AND p.page_no % 5 = 2) END AS warnings FROM ({_BROKEN}) b""")
+def failed_documents(spark, sf_dir):
+    """Runs in which some files can't be read at all, and some pages of others."""
+    pages = I.paged(spark, sf_dir)
+    lost = F.col("doc").endswith("3")
+    read = pages.where(~lost).select(F.col("doc").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), F.col("raw").alias("text"), F.when(F.col("page_no") % 5 == 2, F.lit("broken")).alias("error"))
+    gone = pages.where(lost).select(F.col("doc").alias("doc_id")).distinct().withColumn("error", F.lit("no pages"))
+    layouts = spark.createDataFrame([], PAGE_LAYOUT).unionByName(read, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+    found = reduce_pages(layouts, Settings(strip_repeated_lines=False)).results
+    return found.select("doc", "ok", "pages", F.when(~F.col("ok"), F.col("message")).alias("failure"), F.array_join("warnings", "+").alias("warnings"))
+
+
 @query(f"SELECT DISTINCT doc FROM ({I.PAGED}) WHERE right(doc, 1) IN ('0', '5')")
 def stale_jobs(spark, sf_dir):
     jobs = I.table(spark, sf_dir, "documents").select(F.col("source").alias("doc")).distinct()

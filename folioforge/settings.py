@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Names, defaults and modes are the contract of a run.
 #: Page coverage from which a page is kept as a picture, by mode.
 MODES = {"text": 0.05, "mixed": 0.20, "slides": 0.50, "text_only": 1.01}
 CHARS_PER_TOKEN = 4.0

@@ -14,6 +14,11 @@ def decoded(content: Column) -> Column:
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, raw) of the text files under a path. Files of no bytes give no rows: Spark has nothing to read in them."""
+    """(doc, raw) of the text files under a path. Files of no bytes have an empty body: Spark does not read them, but lists them."""
     files = spark.read.format("binaryFile").load(path)
-    return files.where(T.suffix(F.col("path")).isin(".txt", ".md", ".markdown")).select(T.file_name(F.col("path")).alias("doc"), decoded(F.col("content")).alias("raw"))
+    is_text = T.suffix(F.col("path")).isin(".txt", ".md", ".markdown")
+    read = files.where(is_text).select(T.file_name(F.col("path")).alias("doc"), decoded(F.col("content")).alias("raw"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    empty = [(str(s.getPath().toString()),) for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at.suffix("/*")) or [] if s.isFile() and s.getLen() == 0]
+    none = spark.createDataFrame(empty, "path string").where(is_text).select(T.file_name(F.col("path")).alias("doc"), F.lit("").alias("raw"))
+    return read.unionByName(none)

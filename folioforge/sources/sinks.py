@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -21,18 +22,60 @@ def joined_text(documents: DataFrame, *group: str) -> DataFrame:
     return documents.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda x: x.markdown), "\n\n").alias("text"))
 
 
-@F.udf(BinaryType())
-def _zipped(files):
+def _zipped(names: list[str], texts: list[str | None]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in files:
-            z.writestr(zipfile.ZipInfo(f.name), f.text or "")
+        for name, text in zip(names, texts, strict=True):
+            z.writestr(zipfile.ZipInfo(name), text or "")
     return out.getvalue()
 
 
 def archives(files: DataFrame) -> DataFrame:
-    """(doc, archive): a zip of each document's files (doc, name, text)."""
-    return files.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("name", "text"))).alias("f")).select("doc", _zipped("f").alias("archive"))
+    """(doc, archive): a zip of each document's files (doc, name, text), made a batch of rows at a time. A document's files must fit a value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_zipped([f["name"] for f in files.as_py()], [f["text"] for f in files.as_py()]) for files in batch.column("f")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(made, pa.binary())], names=["doc", "archive"])
+
+    kind = dict(files.dtypes)["doc"]
+    return files.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("name", "text"))).alias("f")).mapInArrow(run, f"doc {kind}, archive binary")
+
+
+def outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, name, chars): what stands under a path; empty if nothing was written there."""
+    at, store = _path(spark, path)
+    if not store.exists(at) or not len(store.listStatus(at)):
+        return spark.createDataFrame([], "folder string, name string, chars long")
+    return spark.read.parquet(path).select(F.col("folder").cast("string").alias("folder"), "name", F.length("markdown").cast("long").alias("chars"))
+
+
+def output(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """The documents of one folder; only that folder is read."""
+    return spark.read.parquet(path).where(F.col("folder") == folder)
+
+
+def drop_output(spark: SparkSession, path: str, folder: str) -> bool:
+    """Deletes one folder; whether there was one."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(folder)
+    at, store = _path(spark, f"{path}/folder={name}")
+    return bool(store.delete(at, True))
+
+
+def clear_outputs(spark: SparkSession, path: str) -> bool:
+    at, store = _path(spark, path)
+    return bool(store.delete(at, True))
+
+
+def drop_stale(spark: SparkSession, path: str, documents: DataFrame) -> int:
+    """Deletes the folders under a path that no document (folder) has any more; how many. Folders are partitions, few enough to name."""
+    gone = [r.folder for r in outputs(spark, path).select("folder").distinct().join(documents.select("folder").distinct(), "folder", "left_anti").toLocalIterator()]
+    return sum(drop_output(spark, path, f) for f in gone)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def delivery_name(name: Column, ending: str = "md") -> Column:

@@ -75,7 +75,9 @@ def test_read_office(spark, tmp_path):
 def test_read_plain(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é\r\nb\rc".encode() + b"\xff!")
     (tmp_path / "b.MD").write_bytes(b"\r")
-    assert {r.doc: r.raw for r in plain.read_plain(spark, str(tmp_path)).collect()} == {"a.txt": "é\nb\nc\ufffd!", "b.MD": "\n"}
+    (tmp_path / "none.txt").write_bytes(b"")
+    (tmp_path / "none.bin").write_bytes(b"")
+    assert {r.doc: r.raw for r in plain.read_plain(spark, str(tmp_path)).collect()} == {"a.txt": "é\nb\nc\ufffd!", "b.MD": "\n", "none.txt": ""}
 
 
 def test_adapters(spark):
@@ -105,3 +107,22 @@ def test_sinks(spark, tmp_path):
     z = sinks.archives(spark.createDataFrame([("d", "b.txt", "2"), ("d", "a.txt", "1")], "doc string, name string, text string")).first()
     with zipfile.ZipFile(io.BytesIO(z.archive)) as f:
         assert [(n, f.read(n)) for n in f.namelist()] == [("a.txt", b"1"), ("b.txt", b"2")]
+
+
+def test_outputs(spark, tmp_path):
+    at = str(tmp_path / "out")
+    assert sinks.outputs(spark, at).count() == 0
+    docs = spark.createDataFrame([("a b", "x.md", "X"), ("b", "y.md", "Y"), ("c=d", "z.md", "ZZ")], "folder string, name string, markdown string")
+    sinks.write_documents(docs, at)
+    assert sorted(tuple(r) for r in sinks.outputs(spark, at).collect()) == [("a b", "x.md", 1), ("b", "y.md", 1), ("c=d", "z.md", 2)]
+    assert sinks.output(spark, at, "b").first().markdown == "Y"
+    assert sinks.drop_output(spark, at, "c=d") and not sinks.drop_output(spark, at, "c=d")
+    assert sinks.drop_stale(spark, at, docs.where("folder = 'b'")) == 1 and [r.folder for r in sinks.outputs(spark, at).collect()] == ["b"]
+    assert sinks.clear_outputs(spark, at) and sinks.outputs(spark, at).count() == 0
+
+
+def test_tables_in_tables():
+    """Cells of a grid in a grid are its text; a long cell turns the grid around it into its blocks, and so does depth."""
+    inner = tbl([p("in"), p("ner")])
+    assert office.blocks_of(".docx", docx(tbl([p("a") + inner, p("b")]))) == [("table", None, None, [["ainner", "b"]])]
+    assert office.blocks_of(".docx", docx(tbl([p("y" * 301) + inner, p("b")]))) == [("body", "y" * 301, None, None), ("table", None, None, [["in", "ner"]]), ("body", "b", None, None)]

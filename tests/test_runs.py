@@ -3,6 +3,7 @@
 from test_readers import docx
 
 from folioforge.__main__ import main
+from folioforge.operators import lifecycle, reports
 from folioforge.plans import reduce as run
 from folioforge.schemas import PAGE_LAYOUT
 from folioforge.settings import Settings
@@ -69,9 +70,31 @@ def test_files(spark, tmp_path, capsys):
     said = capsys.readouterr()
     assert "a.txt: plain text" in said.out and "Could not read bad.odt" in said.err and "1 failed" in said.out
     assert len({r.folder for r in spark.read.parquet(str(tmp_path / "out")).collect()}) == 2
+    (tmp_path / "in" / "p.pdf").write_bytes(b"pages")
+    (tmp_path / "in" / "s.png").write_bytes(b"dots")
+    assert main([str(tmp_path / "in"), "-q"]) == 1
+    said = capsys.readouterr()
+    assert said.out == "" and "Could not read p.pdf: reading paged formats takes a reader" in said.err and "s.png" not in said.err
+    pages = lambda suffix, content: [{"page_no": 1, "page_rect": PAGE, "text": "“Some” text"}, {"page_no": 2, "error": "torn"}]
+    assert main([str(tmp_path / "in"), "-t", "50", "--dpi", "72", "--tables", "--figures", "--keep-headers", "--raw-punctuation"], pages) == 1
+    assert "p.pdf: 2 pages, 0 images" in capsys.readouterr().out
     assert main(["--formats"]) == 0 and ".docx" in capsys.readouterr().out
 
 
+def test_failures_are_results(spark):
+    rows = [("bad.pdf", None, None, None, None, None, None, None, "ValueError: needs a password"), ("d.pdf", 12, PAGE, "", [], [], [], [], "torn")]
+    out = run.reduce_pages(layouts(spark).unionByName(spark.createDataFrame(rows, PAGE_LAYOUT)))
+    found = {r.doc: r for r in out.results.collect()}
+    assert not found["bad.pdf"].ok and found["bad.pdf"].message == "Could not read bad.pdf: ValueError: needs a password" and found["bad.pdf"].pages == 0
+    assert found["d.pdf"].ok and found["d.pdf"].pages == 12 and found["d.pdf"].warnings == ["page 4: broken", "page 12: torn"]
+    assert out.totals.first().failures == 1
+    assert "  - page 4: broken" in {r.doc: r.manifest for r in out.manifest.collect()}["d.pdf"]
+    assert '"page 12: torn"' in {r.doc: r.report for r in out.reports.collect()}["d.pdf"]
+    queue = spark.createDataFrame([("bad.pdf",), ("d.pdf",), ("new.pdf",)], "name string")
+    assert {r.name: r.state for r in lifecycle.queue_results(queue, out.results).collect()} == {"bad.pdf": "failed", "d.pdf": "done", "new.pdf": "waiting"}
+    assert reports.cancelled(queue.withColumnRenamed("name", "doc")).first().message == "Cancelled."
+
+
 def test_cancel_and_progress(spark):
     with run.cancellable(spark, "run-1"):
         assert "run-1" in spark.getTags()
