@@ -282,9 +282,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     differ = " OR ".join(f"min({c}) <> max({c})" for c in ("doc_id", "pos"))
     keys = written(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr(differ).alias("several")).where("several").select("key", F.least(F.col("n"), F.lit(FEW + 1)).cast("int").alias("n")), "repeated-keys")
     kept = anchors.join(keys, "key").select("doc_id", "text_hash", F.struct("key", "n", "pos", "windows").alias("a")).distinct()
-    by_text = kept.groupBy("doc_id", "text_hash").agg(F.collect_list("a").alias("anchors"))
+    by_text = written(kept.groupBy("doc_id", "text_hash").agg(F.collect_list("a").alias("anchors")), "by-text")
+    dropped(anchors, keys)  # before the texts travel
     held = written(docs.join(by_text, "doc_id").mapInArrow(_suffixes, HELD), "suffixes")
-    dropped(anchors, keys)
+    dropped(by_text)
     order = ["key", "following", "doc_id", "pos", "preceding"]
     compared = written(held.repartitionByRange(*order[:4]).sortWithinPartitions(*order).mapInArrow(_compare, FOUND), "found")
     dropped(held)
