@@ -2,6 +2,11 @@
 
 Every stage takes the documents that its predecessor kept, and all but the last return documents with the columns
 they came with.
+
+Null texts are empty texts, and very long ones are read whole. Rows without an id are never dropped as copies by their id;
+of equal texts one row stays, and rows that repeat an id with its text stay or go together. Ties go to the smallest id, but
+for exact copies to the longest original first. Other columns come along, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
