@@ -9,7 +9,9 @@ and a last logistic model over the two calibrated scores weighs them for all doc
 
 Both views of all documents are computed once and written as a table; rounds and scores read that. Bounds: at most SAMPLE
 labelled documents, chosen by a hash of the id, and 4 x EACH others a round come to the driver, each id once, however often
-it is repeated; nothing else does.
+it is repeated; nothing else does. These are chosen by slices of the ids first, so the last task meets at most
+2^SLICE_BITS x EACH rows of a list, at any size. An id that stands for several texts is handed on once, by the text that is
+surest.
 
 Null counts as the empty text; null metadata is a value of its own. Without labels of both kinds all scores are 1.
 An id labelled more than once has the least of its labels. Repeated rows are scored each for itself; of rows with
@@ -32,6 +34,8 @@ from .words import chunks, hashed_words
 
 SAMPLE = 20_000
 ROUNDS, EACH = 4, 400
+#: What is surest is chosen in 2^SLICE_BITS slices, and then among what these leave: 2^SLICE_BITS times EACH rows of a list at most.
+SLICE_BITS = 8
 KEEP = 0.5
 SOURCES, LANGS, SIZES = 64, 16, 24
 WORDS = 256
@@ -181,10 +185,10 @@ def _ranked(view: list[np.ndarray], calibration: list[np.ndarray], given: list[f
                 for label in range(2):
                     k = 2 * i + label
                     d, q, t = (np.concatenate(c) for c in zip(best[k], (ids[free], p[free], tie[free]), strict=True))
-                    _, one = np.unique(d, return_index=True)
-                    d, q, t = d[one], q[one], t[one]
-                    order = np.lexsort((t, q if label else -q))[:each]
-                    best[k] = d[order], q[order], t[order]
+                    order = np.lexsort((d, t, q if label else -q))
+                    d, q, t = d[order], q[order], t[order]
+                    one = np.sort(np.unique(d, return_index=True)[1])[:each]
+                    best[k] = d[one], q[one], t[one]
         columns = [np.concatenate([best[k][c] for k in range(4)]) for c in range(3)]
         lists = np.repeat(np.arange(4), [len(best[k][0]) for k in range(4)])
         yield pa.RecordBatch.from_arrays([pa.array(lists), *map(pa.array, columns)], names=["list", "doc_id", "p", "tie"])
@@ -192,6 +196,16 @@ def _ranked(view: list[np.ndarray], calibration: list[np.ndarray], given: list[f
     return run
 
 
+def surest(ranked: DataFrame, each: int) -> DataFrame:
+    """(list, doc_id, p): the first of each list, an id once in it; by slices of the ids first, so that no task meets what all tasks found."""
+    ranked = ranked.withColumn("slice", F.shiftright("tie", 64 - SLICE_BITS)).withColumn("place", F.when(F.col("list") % 2 == 0, -F.col("p")).otherwise(F.col("p")))
+    first = ranked.repartition("list", "slice").groupBy("list", "slice", "doc_id", "tie").agg(F.min("place").alias("place"))
+    for group in (["list", "slice"], ["list"]):
+        order = Window.partitionBy(*group).orderBy("place", "tie", "doc_id")
+        first = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    return first.select("list", "doc_id", F.abs("place").alias("p"))
+
+
 def _fetched(seen: DataFrame, ids: list[int]) -> dict[int, tuple[bytes, list[int]]]:
     """The views of a bounded number of ids, each id once."""
     asked = F.broadcast(seen.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
@@ -219,13 +233,12 @@ def train(seen: DataFrame, labels: DataFrame, sample: int = SAMPLE, each: int =
     pool = seen.where("doc_id IS NOT NULL")
 
     def ask(view: list[np.ndarray], calibration: list[np.ndarray]) -> list[tuple[Views, np.ndarray]]:
-        ranked = pool.mapInArrow(_ranked(view, calibration, given, each), "list long, doc_id long, p double, tie long").distinct()
-        order = Window.partitionBy("list").orderBy(F.when(F.col("list") % 2 == 0, -F.col("p")).otherwise(F.col("p")), "tie", "doc_id")
-        rows = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).collect()  # 4 * each rows
+        ranked = pool.mapInArrow(_ranked(view, calibration, given, each), "list long, doc_id long, p double, tie long")
+        rows = surest(ranked, each).collect()  # 4 * each rows
         views = _fetched(pool, sorted({r.doc_id for r in rows})) if rows else {}
         out = []
         for i in range(2):
-            mine = sorted({(r.doc_id, r.p) for r in rows if r.list // 2 == i})
+            mine = sorted({r.doc_id: r.p for r in sorted(rows, key=lambda r: (abs(r.p - 0.5), r.p)) if r.list // 2 == i}.items())
             given[i] = given[i] | {d for d, _ in mine}
             out.append((_arrays([views[d] for d, _ in mine]), np.array([p for _, p in mine])))
         return out

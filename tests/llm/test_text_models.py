@@ -145,6 +145,24 @@ def test_views_teach_each_other(spark):
     assert all(g.sum() > 300 for g in given)
 
 
+def test_surest_of_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(4):
+        for d in rng.integers(0, 900, 4000).tolist():
+            rows.append((k, d, float(rng.integers(0, 50)) / 50, zlib.crc32(str(d).encode()) * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63)))
+    place = lambda k, p: p if k % 2 else -p
+    want = {}
+    for k, d, p, t in rows:
+        key = (k, d, t)
+        want[key] = min(want.get(key, 2.0), place(k, p))
+    df = spark.createDataFrame(rows, "list long, doc_id long, p double, tie long").repartition(16)
+    for each in (1, 40, 2000):
+        expected = sorted((k, d, abs(p)) for k in range(4) for p, t, d in sorted((p, t, d) for (k2, d, t), p in want.items() if k2 == k)[:each])
+        assert sorted(map(tuple, C.surest(df, each).collect())) == expected
+    assert C.surest(df.limit(0), 3).collect() == []
+
+
 def test_exchange_over_a_table(spark):
     """Both views hand over, none of it twice, and repeated ids bring one row each; switched off, scores differ."""
     rows = quality_rows(900)
