@@ -11,7 +11,7 @@ otherwise make their own text worthless. Kin share one of KIN keys, each of the
 space (of texts that are similar at 0.85 about 1 in 100 is no kin, of texts that share a fifth 1 in 20 is); a document
 counts as one over the number of its kin wherever these are more than a share HEAVY of all (below that, a group is too
 small to be common by itself). Common shingles are found by Misra-Gries summaries of all documents, whose error is known,
-and all that may be common are counted again exactly. There are at most about 1.4 / COMMON times the mean number of
+and all that may be common are counted again exactly. There are at most about 2 / COMMON times the mean number of
 shingles of a document of them, and KIN / HEAVY heavy kin: bounds that do not grow with the corpus.
 
 Texts with the same words are one class from the start; the first of them (by id) stands for it. SAMPLES consistent
@@ -189,7 +189,7 @@ class Summary:
     """A Misra-Gries summary of weighted shingles: what the first counter beyond the limit has is taken from all.
 
     missed: what a count may be too low by. The number of counters follows the mean number of shingles of a document, so that
-    this stays below a quarter of what is common."""
+    this stays below a quarter of what is common; leaving out what is rare at the end adds a quarter at most."""
 
     def __init__(self) -> None:
         self.item, self.count = np.empty(0, np.uint64), np.empty(0)
@@ -207,8 +207,8 @@ class Summary:
         self.item, self.count = items[counts > 0], counts[counts > 0]
 
     def closed(self) -> None:
-        """Leaves out what is rare in the partition."""
-        rare = self.count <= self.texts / 2000
+        """Leaves out what is rare in the partition, however few texts it has: up to a quarter of what would be common there."""
+        rare = self.count <= COMMON / 4 * self.texts
         self.missed += self.count[rare].max(initial=0)
         self.item, self.count = self.item[~rare], self.count[~rare]
 

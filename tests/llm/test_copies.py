@@ -309,3 +309,14 @@ def test_real_passages(spark):
         got[r.doc_id].update(range(r.start_word, r.end_word))
     text = [(i, re.sub(r"[^\x20\x09-\x0D]+", lambda m: "x" + m[0].encode("utf-8").hex(), t or "")) for i, t in rows]  # words by white space of ASCII alone
     assert dict(got) == brute_passages(text)[0]
+
+
+def test_summary_of_few_texts_leaves_out_what_is_rare():
+    """However few texts a partition has, a shingle of one of them is not handed on, and what is left out is told."""
+    summary = N.Summary()
+    summary.texts = 240.0 * N.UNIT
+    summary.add(np.arange(1000, dtype=np.uint64), np.full(1000, float(N.UNIT)))
+    summary.add(np.array([7], np.uint64), np.array([4.0 * N.UNIT]))
+    summary.closed()
+    assert summary.item.tolist() == [7] and summary.count.tolist() == [5.0 * N.UNIT]
+    assert summary.missed == N.UNIT <= N.COMMON / 4 * summary.texts
