@@ -1,12 +1,19 @@
 """Exact top-k by inner product over a bit-sliced index.
 
 Components are quantised to floor(scale * x). The index holds blocks of rows: for each component one bitmap for every
-bit of its value (shifted to be non-negative), a bit of which is a row. For a query, the slices of a component are
-added once for each bit of the query's component, at that bit's weight; negative components add the complement. The
-additions are carry-save: three bitmaps of a weight become one of it and one of the next. What is left is the score of
-all rows of the block at once, one bitmap a bit. From the most significant slice down, the rows that have the bit are
-taken while they are fewer than k; those that still tie after the last slice are the boundary, resolved by their ids.
-The best of each block are then merged. All steps are exact; nothing is sampled or capped.
+bit of its value (shifted to be non-negative), a bit of which is a row. Queries are kept in the same way. A task meets a
+group of blocks with a chunk of queries, and scores every row of the one for every query of the other:
+
+* Where all sums are exact in floating point (by the product of the lengths, below 2 ** 24 or 2 ** 53), the slices are put
+  together again and scores are products of matrices, tile by tile. Rows go in the order of ids, so that only a score above
+  a query's k-th best so far can change it; the greatest score of a tile tells whether there is one.
+* Other scores stay in slices. The slices of a component are added once for each bit of the query's component, at that
+  bit's weight; negative components add the complement. The additions are carry-save: three bitmaps of a weight become
+  one of it and one of the next. What is left is the score of all rows of the block at once, one bitmap a bit. From the
+  most significant slice down, the rows that have the bit are taken while they are fewer than k; those that still tie
+  after the last slice are the boundary, resolved by their ids.
+
+The best of each task are then merged. All steps are exact; nothing is sampled or capped.
 
 Vectors that are null or hold null or non-finite components take no part, neither do rows without an id. Shorter
 vectors count as filled up with zeros. Quantised components end at 2 ** 53 either way; scores are exact however large, and
@@ -17,23 +24,30 @@ Other columns are not read, so their names clash with nothing. An empty table gi
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from decimal import Decimal
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from .common import table, written
 
 BLOCKS = "block long, ids binary, low long, bits int, dims int, slices array<binary>"
-BEST = "query_id long, vec_id long, score decimal(38,0)"
-#: Quantised components end here: beyond, doubles have no units any more, and sums must fit 38 digits.
+#: A score is high * 2 ** 63 + low.
+BEST = "query_id long, vec_id long, high long, low long"
+#: Quantised components end here: beyond, doubles have no units any more.
 LARGEST = 2.0**53
-#: Pairs of a block and a chunk of queries: enough to spread over a large cluster.
-PAIRS = 8192
+#: Lengths of vectors whose products are exact as floats and as doubles.
+SHORT, LONG = 2.0**12, 2.0**26
+#: Queries and rows of a tile of scores, which stays in a core's cache.
+TILE = (512, 1024)
+#: Pairs of a query and a row that are worth a task, and how many tasks to make of them at least and at most.
+WORTH, TASKS = 2**30, (16, 256)
+#: Components that a task holds at most, of rows and of queries; beyond, there are more tasks.
+HELD = (2**25, 2**23)
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -42,11 +56,21 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     return v.where(~odd).select("id", F.transform("v", lambda x: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x * scale))).cast("long")).alias("q"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the lists, and their elements one after the other; null elements of floats are NaN."""
+    parts = column.chunks
+    lengths = [np.diff(p.offsets.to_numpy()) for p in parts]
+    elements = [p.flatten().to_numpy(zero_copy_only=False) for p in parts]
+    return np.concatenate(lengths or [np.zeros(0, np.int64)]), np.concatenate(elements or [np.zeros(0, np.int64)])
+
+
+def _matrix(lengths: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """The lists as rows, filled up with zeros."""
+    out = np.zeros((len(lengths), lengths.max(initial=0)), np.int64)
+    if out.size == len(elements):
+        out[:] = elements.reshape(out.shape)
+    else:
+        out[np.arange(out.shape[1]) < lengths[:, None]] = elements
     return out
 
 
@@ -62,14 +86,40 @@ def slices_of(q: np.ndarray) -> tuple[int, int, list[bytes]]:
     return low, bits, [_bitmap((row >> np.uint64(b)) & np.uint64(1) == 1) for row in u for b in range(bits)]
 
 
-def _build(key: tuple, rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("id", "ascending")])
-    q = _matrix(rows["q"])
-    low, bits, slices = slices_of(q)
-    ids = rows["id"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary())]
-    row = [key[0].as_py(), ids.tobytes(), low, bits, q.shape[1], slices]
-    return pa.table({c.split()[0]: pa.array([x], k) for c, x, k in zip(BLOCKS.split(", "), row, kinds, strict=True)})
+def values_of(low: int, bits: int, dims: int, slices: list[bytes], rows: int) -> np.ndarray:
+    """The components that slices_of was given, a line for each component."""
+    if not dims:
+        return np.zeros((0, rows), np.int64)
+    bitmaps = np.frombuffer(b"".join(slices), np.uint8).reshape(dims, bits, -1)
+    out = np.full((dims, rows), low, np.int32 if bits <= 23 and abs(low) <= 2**23 else np.int64)
+    for b in range(bits):
+        out += np.unpackbits(bitmaps[:, b], axis=1, count=rows, bitorder="little").astype(out.dtype) << b
+    return out
+
+
+def _build(scale: float | None) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Makes a block of the rows (id, v); v are components, or are quantised already if there is no scale."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids = rows["id"].to_numpy()
+        lengths, v = _lists(rows["v"])
+        if scale is not None:
+            fit = np.ones(len(ids), bool)
+            finite = np.isfinite(v)
+            if not finite.all():
+                of = np.repeat(np.arange(len(ids)), lengths)
+                fit[of[~finite]] = False
+                ids, lengths, v = ids[fit], lengths[fit], v[fit[of]]
+            with np.errstate(over="ignore"):
+                v = np.floor(np.clip(v.astype(np.float64) * scale, -LARGEST, LARGEST)).astype(np.int64)
+        order = np.argsort(ids, kind="stable")
+        q = _matrix(lengths, v)[order]
+        low, bits, slices = slices_of(q)
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary())]
+        row = [key[0].as_py(), ids[order].astype(np.int64).tobytes(), low, bits, q.shape[1], slices]
+        return pa.table({c.split()[0]: pa.array([x], k) for c, x, k in zip(BLOCKS.split(", "), row, kinds, strict=True)}).slice(0, min(1, len(ids)))
+
+    return run
 
 
 def score_slices(query: list[int], slices: list[int], bits: int, everything: int) -> list[int]:
@@ -140,47 +190,150 @@ def block_best(query_id: int, query: list[int], ids: np.ndarray, low: int, bits:
     return [(sum((s >> i & 1) << w for w, s in enumerate(score)) + constant, int(ids[i])) for i in chosen]
 
 
-def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                ids = np.frombuffer(row["ids"], np.int64)
-                slices = [int.from_bytes(s, "little") for s in row["slices"]]
-                best = [(q, i, s) for q, v in json.loads(row["queries"]) for s, i in block_best(q, v, ids, row["low"], row["bits"], row["dims"], slices, k)]
-                yield pa.RecordBatch.from_arrays([*(pa.array([b[c] for b in best], pa.int64()) for c in range(2)), pa.array([Decimal(b[2]) for b in best], pa.decimal128(38, 0))], names=["query_id", "vec_id", "score"])
+def _better(scores: np.ndarray, first: int, best: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each line: of best, which were found at the rows at, and of scores, of the rows from first on."""
+    h, k = best.shape
+    above = scores > best[:, -1:]
+    if scores.shape[1] > k and np.isneginf(best[:, -1]).any():  # not k yet: of this tile, its own k best and their ties
+        above &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+    line, row = np.nonzero(above)
+    lines = np.concatenate([np.repeat(np.arange(h), k), line])
+    values = np.concatenate([best.ravel(), scores[line, row]])
+    rows = np.concatenate([at.ravel(), row + first])
+    order = np.lexsort((rows, -values, lines))
+    lines = lines[order]
+    order = order[np.arange(len(lines)) - np.searchsorted(lines, np.arange(h))[lines] < k]
+    return values[order].reshape(h, k), rows[order].reshape(h, k)
+
+
+def dense_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and scores of the k best rows for each query. rows: a column for each id, in the order of ids.
+
+    Sums must be exact in the type of the matrices."""
+    found = []
+    for a in range(0, len(query_ids), TILE[0]):
+        asked, q = query_ids[a : a + TILE[0]], queries[a : a + TILE[0]]
+        best, at = np.full((len(q), k), -np.inf, q.dtype), np.zeros((len(q), k), np.int64)
+        start, end = np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right")
+        own = [(r, i) for i in np.flatnonzero(start < end) for r in range(start[i], end[i])]
+        own_row, own_query = np.array(sorted(own), np.int64).reshape(-1, 2).T
+        tile = np.empty((len(q), TILE[1]), q.dtype)
+        for s in range(0, len(ids), TILE[1]):
+            part = rows[:, s : s + TILE[1]]
+            scores = np.matmul(q, part, out=tile) if part.shape[1] == TILE[1] else q @ part
+            x, y = np.searchsorted(own_row, [s, s + TILE[1]])
+            scores[own_query[x:y], own_row[x:y] - s] = -np.inf
+            hit = np.flatnonzero(scores.max(axis=1) > best[:, -1])
+            if len(hit):
+                best[hit], at[hit] = _better(scores[hit], s, best[hit], at[hit])
+        line, place = np.nonzero(best > -np.inf)
+        found.append((asked[line], ids[at[line, place]], best[line, place].astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def sliced_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """The same for sums of any size, by slices of 65,536 rows at a time; up to k of each."""
+    for s in range(0, len(ids), 65_536):
+        low, bits, slices = slices_of(rows[:, s : s + 65_536].astype(np.int64).T)
+        whole = [int.from_bytes(x, "little") for x in slices]
+        for i, q in zip(query_ids.tolist(), queries, strict=True):
+            for score, j in block_best(i, q.astype(np.int64).tolist(), ids[s : s + 65_536], low, bits, len(rows), whole, k):
+                yield i, j, score
+
+
+def _unpacked(blocks: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in their order, the components of each as a column, as floats if these hold them, and the kind of each by length."""
+    parts = [np.frombuffer(i, np.int64) for i in blocks["ids"].to_pylist()]
+    ids = np.concatenate(parts)
+    order = np.argsort(ids, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    small = all(b <= 23 and abs(v) <= 2**23 for b, v in zip(blocks["bits"].to_pylist(), blocks["low"].to_pylist(), strict=True))
+    out, squares = np.zeros((dims, len(ids)), np.float32 if small else np.float64), np.zeros(len(ids))
+    at = 0
+    for n, part in enumerate(parts):
+        low, bits, held = (blocks[c][n].as_py() for c in ("low", "bits", "dims"))
+        to, at = place[at : at + len(part)], at + len(part)
+        v = values_of(low, bits, held, blocks["slices"][n].as_py(), len(part))
+        out[:held, to] = v
+        squares[to] = sum((line.astype(np.float64) ** 2 for line in v), np.zeros(len(part)))
+    return ids[order], out, (np.sqrt(squares) >= SHORT).astype(np.int8) + (np.sqrt(squares) >= LONG)
+
+
+def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        columns = [np.zeros(0, np.int64)] * 4
+        if len(blocks) and len(asked):
+            dims = max(max(t["dims"].to_pylist()) for t in (blocks, asked))
+            ids, rows, row_kind = _unpacked(blocks, dims)
+            query_ids, queries, query_kind = _unpacked(asked, dims)
+            found = []
+            for x in np.unique(row_kind):
+                own, of = (ids, rows) if (row_kind == x).all() else (ids[row_kind == x], rows[:, row_kind == x])
+                for y in np.unique(query_kind):
+                    who, what = query_ids[query_kind == y], np.ascontiguousarray(queries[:, query_kind == y].T)
+                    if max(x, y) < 2:
+                        exact = (np.float32, np.float64)[max(x, y)]
+                        i, j, score = dense_best(who, what.astype(exact, copy=False), own, of.astype(exact, copy=False), k)
+                        found.append((i, j, score >> 63, score & (2**63 - 1)))
+                    else:
+                        best = [(i, j, s >> 63, s & (2**63 - 1)) for i, j, s in sliced_best(who, what, own, of, k)]
+                        found.append(np.array(best, np.int64).reshape(-1, 4).T)
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.table({c.split()[0]: v for c, v in zip(BEST.split(", "), columns, strict=True)})
 
     return run
 
 
-def build_index(vectors: DataFrame, rows: int, block_rows: int) -> DataFrame:
-    """One row per block of about block_rows of the quantised vectors (id, q), dealt by a hash of the id."""
-    blocks = max(1, -(-rows // block_rows))
-    return vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(_build, BLOCKS)
+def _dealt(vectors: DataFrame, blocks: int, scale: float | None) -> DataFrame:
+    """One row per block of the vectors (id, v), dealt by a hash of the id."""
+    return vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(_build(scale), BLOCKS)
+
+
+def _counted(blocks: DataFrame) -> tuple[int, int]:
+    """Vectors of the blocks and their most components."""
+    rows, dims = blocks.agg(F.sum(F.octet_length("ids")), F.max("dims")).first()
+    return (rows or 0) // 8, dims or 0
+
+
+def build_index(vectors: DataFrame, rows: int, block_rows: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
+    """One row per block of about block_rows of the vectors, which are rows; those that take no part are left out."""
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    if not isinstance(v.schema["v"].dataType.elementType, FloatType | DoubleType):
+        v = v.withColumn("v", F.col("v").cast("array<double>"))
+    return _dealt(v, max(1, -(-rows // block_rows)), scale)
+
+
+def _meeting(blocks: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
+    """Each block once for each of the others, in partitions by what is to be met in one task; Spark shall not join these, which are much work and few bytes."""
+    every = F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))
+    met = blocks.withColumn(own, F.pmod("block", F.lit(count))).withColumn(other, F.explode(every)).drop("block")
+    return met.repartition(2 * count * others, "group", "chunk")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int | None = None, chunk: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best vectors for each query; queries hold the same columns as vectors.
 
-    block_rows: rows of a block, by default between 2048 and 65,536. Queries travel in chunks; each chunk meets each
-    block once, as a row of both, so that a block travels once for each chunk. chunk: queries of a chunk, by default
-    between 256 and 16,384, so that about PAIRS rows do. A task holds one block and one chunk at a time.
+    block_rows: rows of a block, by default between 2048 and 65,536. chunk: queries of a chunk. Blocks are dealt to
+    groups, and each group meets each chunk in a task of its own, which holds both; so a block travels once for each
+    chunk, a query and its k best once for each group. By default tasks are few, up to 256, while a task can hold its share.
     """
-    v = written(quantised(vectors, id_col, vector_col, scale), "vectors")
-    n = v.count()
-    block_rows = block_rows or min(65_536, max(2048, n // 256))
-    index = written(build_index(v, n, block_rows), "bit-slices")
-    q = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.max("q").alias("q"))
-    asked = max(1, q.count())
-    blocks = max(1, -(-n // block_rows))
-    chunk = chunk or min(16_384, max(256, asked * blocks // PAIRS))
-    q = q.withColumn("chunk", F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(-(-asked // chunk))))
-    chunks = q.groupBy("chunk").agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "q")))).alias("queries"))
-    chunks = chunks.withColumn("queries", F.regexp_replace(F.regexp_replace("queries", r'\{"id":(-?\d+),"q":', "[$1,"), r"\]\}", "]]"))
-    meets = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    best = index.join(meets, "block").drop("block").repartition("chunk", "low", "ids").mapInArrow(_search(k), BEST)
-    as_long = F.greatest(F.lit(-(2**63)).cast("decimal(38,0)"), F.least(F.lit(2**63 - 1).cast("decimal(38,0)"), F.col("score"))).cast("long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # cut to k rows a task before the shuffle
+    n = vectors.count()
+    block_rows = block_rows or min(65_536, max(2048, n // 2048))
+    index = written(build_index(vectors, n, block_rows, id_col, vector_col, scale), "bit-slices")
+    rows, dims = _counted(index)
+    q = written(quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.max("q").alias("v")), "queries")
+    asked = q.count()
+    tasks = min(TASKS[1], max(TASKS[0], rows * asked // WORTH))
+    chunks = max(round(math.sqrt(4 * tasks * asked / max(1, rows))), -(-asked * dims // HELD[1]), 1)  # what is sent of a query, with its best, is about 4 times what is sent of a row
+    chunks = max(1, -(-asked // chunk)) if chunk else chunks
+    groups = max(1, min(-(-n // block_rows), max(-(-tasks // chunks), -(-rows * dims // HELD[0]))))
+    pieces = chunks * max(1, -(-asked // (chunks * 16_384)))
+    packed = written(_dealt(q, pieces, None), "asked")
+    held, asking = _meeting(index, "group", groups, "chunk", chunks), _meeting(packed, "chunk", chunks, "group", groups)
+    best = held.groupBy("group", "chunk").cogroup(asking.groupBy("group", "chunk")).applyInArrow(_search(k), BEST)
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")  # cut to k rows a task before the shuffle
+    as_long = F.when(F.col("high") > 0, F.lit(2**63 - 1)).when(F.col("high") < -1, F.lit(-(2**63))).otherwise(F.shiftleft("high", 63).bitwiseOR(F.col("low")))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", as_long.alias("score"))
 
 

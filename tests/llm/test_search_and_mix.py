@@ -1,10 +1,14 @@
 """Top-k search, mixing, packing."""
 
 import math
+import time
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,6 +49,47 @@ def test_top_k_of_few(spark):
     assert search(spark, [(50, [1.0]), (3, [2.0])]) == [(50, 1, 3, 131072)]
 
 
+def test_top_k_of_many_in_time(spark, tmp_path):
+    """1.6e9 pairs, which took minutes of every core when each pair was scored in slices."""
+    v = np.random.default_rng(2).normal(size=(200_000, 64)).astype(np.float32) / 8
+    v[100:140] = v[7]  # ties
+    lists = pa.ListArray.from_arrays(np.arange(0, v.size + 1, 64, dtype=np.int32), v.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": lists}), tmp_path / "v.parquet")
+    vectors = spark.read.parquet(str(tmp_path / "v.parquet"))
+    began = time.time()
+    got = K.top_k(vectors, vectors.where("vec_id % 25 = 0")).toPandas()
+    assert time.time() - began < 40
+    assert len(got) == 40_000
+    q = np.floor(v.astype(np.float64) * 256)
+    for i in [0, 100, 125, *range(150, 200_000, 4975)]:
+        scores = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(len(q)), -scores))[:6] if j != i][:5]
+        mine = got[got.query_id == i].sort_values("rank")
+        assert (mine.vec_id.tolist(), mine.score.tolist()) == (order, scores[order].tolist())
+
+
+@pytest.mark.parametrize("size", [1, 6, 3_000, 10**8, 2**53])
+def test_kinds_of_sums_agree_with_brute_force(size, monkeypatch):
+    """Floats, doubles and slices, over several tiles and with vectors of very different lengths in a task."""
+    monkeypatch.setattr(K, "TILE", (3, 7))
+    rng = np.random.default_rng(size)
+    at_most = [size, 1, 4_000, 2**25][:4]
+    v = [[int(x) for x in rng.integers(-m, m + 1, 4 - n % 2)] for n in range(90) for m in [at_most[n % 4]]]
+    ids = [*range(0, 120, 2), *range(0, 60, 2)]
+
+    def blocks(of):
+        made = [K._build(None)((pa.scalar(b),), pa.table({"id": pa.array([ids[n] for n in of if n % 4 == b], pa.int64()), "v": pa.array([v[n] for n in of if n % 4 == b], pa.list_(pa.int64()))})) for b in range(4)]
+        return pa.concat_tables(made)
+
+    asked = range(0, 60, 3)
+    found = defaultdict(list)
+    for row in K._search(3)(blocks(range(90)), blocks(asked)).to_pylist():
+        found[row["query_id"]].append((-((row["high"] << 63) + row["low"]), row["vec_id"]))
+    for n in asked:
+        want = sorted((-sum(a * b for a, b in zip(v[n], w, strict=False)), i) for i, w in zip(ids, v, strict=True) if i != ids[n])[:3]
+        assert sorted(found[ids[n]])[:3] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(-300, 300), min_size=3, max_size=3), min_size=1, max_size=40), st.lists(st.integers(-300, 300), min_size=3, max_size=3), st.integers(1, 6))
 def test_bit_slices(vectors, query, k):
