@@ -196,7 +196,7 @@ def _better(scores: np.ndarray, first: int, best: np.ndarray, at: np.ndarray) ->
     above = scores > best[:, -1:]
     if scores.shape[1] > k and np.isneginf(best[:, -1]).any():  # not k yet: of this tile, its own k best and their ties
         above &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
-    line, row = np.nonzero(above)
+    line, row = np.divmod(np.flatnonzero(above), scores.shape[1])  # on one line, several times as fast
     lines = np.concatenate([np.repeat(np.arange(h), k), line])
     values = np.concatenate([best.ravel(), scores[line, row]])
     rows = np.concatenate([at.ravel(), row + first])
@@ -223,7 +223,7 @@ def dense_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows
             scores = np.matmul(q, part, out=tile) if part.shape[1] == TILE[1] else q @ part
             x, y = np.searchsorted(own_row, [s, s + TILE[1]])
             scores[own_query[x:y], own_row[x:y] - s] = -np.inf
-            hit = np.flatnonzero(scores.max(axis=1) > best[:, -1])
+            hit = np.flatnonzero(np.fmax.reduce(scores, axis=1) > best[:, -1])
             if len(hit):
                 best[hit], at[hit] = _better(scores[hit], s, best[hit], at[hit])
         line, place = np.nonzero(best > -np.inf)
