@@ -40,7 +40,7 @@ column("clean_text", I.dirty, I.DIRTY, T.clean_text, I.sql_clean("raw"), True)
 column("clean_text_native", I.dirty, I.DIRTY, lambda c: T.clean_text(c, normaliser=None), I.sql_clean("raw"), True)
 column("token_estimate", I.paged, I.PAGED, lambda c: T.tokens(F.length(c)), I.sql_tokens("length(raw)"))
 column("words_per_line", I.paged, I.PAGED, T.words_per_line, rf"coalesce(list_sum(list_transform({I.sql_lines('raw')}, lambda y: len(string_split_regex(y, '\s+'))))::DOUBLE / len({I.sql_lines('raw')}), 0.0)")
-column("human_size", I.paged, I.PAGED, lambda c: T.human_size(F.length(c) * F.col("page_no") * 97), "CASE WHEN length(raw) * page_no * 97 / 1024.0 < 1024 THEN concat(CAST(floor(length(raw) * page_no * 97 / 1024.0::DOUBLE + 0.5) AS BIGINT), ' KB') ELSE concat(printf('%.1f', length(raw) * page_no * 97 / 1024.0::DOUBLE / 1024.0::DOUBLE), ' MB') END")
+column("human_size", I.paged, I.PAGED, lambda c: T.human_size(F.length(c).cast("long") * F.col("page_no") * 97), "CASE WHEN length(raw) * page_no * 97 / 1024.0 < 1024 THEN concat(CAST(floor(length(raw) * page_no * 97 / 1024.0::DOUBLE + 0.5) AS BIGINT), ' KB') ELSE concat(printf('%.1f', length(raw) * page_no * 97 / 1024.0::DOUBLE / 1024.0::DOUBLE), ' MB') END")
 column("shorten", I.paged, I.PAGED, T.shorten, "CASE WHEN length(raw) > 40 THEN concat(left(raw, 37), '...') ELSE raw END")
 
 
