@@ -24,9 +24,15 @@ def line_rows(pages: DataFrame) -> DataFrame:
 
 def edge_lines(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(doc, page_no, line_no, line) of the first and last few lines of each page."""
-    lines, n = T.full_lines(F.col("text")), settings.repeat_scan_lines
-    rows = pages.select("doc", "page_no", F.size(lines).alias("_n"), F.posexplode(lines).alias("line_no", "line"))
-    return rows.where((F.col("line_no") < n) | (F.col("line_no") >= F.col("_n") - n)).drop("_n")
+    n = settings.repeat_scan_lines
+
+    def edges(lines: Column) -> Column:
+        """Cut from the page's array: a filter of exploded lines would count the page's lines again for each."""
+        after = F.greatest(F.lit(n), F.size(lines) - n)
+        at = lambda part, start: F.transform(part, lambda x, i: F.struct((i + start).cast("int").alias("line_no"), x.alias("line")))
+        return F.concat(at(F.slice(lines, 1, n), F.lit(0)), at(F.slice(lines, after + 1, F.lit(n)), after))
+
+    return pages.select("doc", "page_no", F.inline(T.bound(T.full_lines(F.col("text")), edges)))
 
 
 def furniture_counts(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -66,9 +72,11 @@ def strip_lines(text: Column, keys: Column, settings: Settings = DEFAULT) -> Col
     keys = F.coalesce(keys, F.array().cast("array<string>"))
 
     def stays(line: Column) -> Column:
-        bare = T.strip(line)
-        gone = F.array_contains(keys, T.line_key(bare))
-        return (bare == "") | ~(gone | T.is_page_number(bare) if settings.drop_page_numbers else gone)
+        def kept(bare: Column) -> Column:
+            gone = F.array_contains(keys, T.line_key(bare))
+            return (bare == "") | ~(gone | T.is_page_number(bare) if settings.drop_page_numbers else gone)
+
+        return T.bound(T.strip(line), kept)
 
     out = T.strip(T.collapse_newlines(F.array_join(F.filter(F.split(text, "\n"), stays), "\n")))
     return out if settings.drop_page_numbers else F.when(F.size(keys) == 0, text).otherwise(out)

@@ -1,9 +1,18 @@
 """What larger tables brought up: each of these failed, or cost far more, before."""
 
+import re
+
+import pyarrow as pa
+from conftest import SF
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.plans import page_queries
+from folioforge.operators import pages as P
+from folioforge.plans import page_queries, run_queries
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_sizes_of_long_documents(spark, tmp_path):
@@ -16,3 +25,44 @@ def test_sizes_of_long_documents(spark, tmp_path):
 def test_ties_of_sizes_are_even(spark):
     rows = spark.createDataFrame([(1, 5 << 18), (2, 7 << 18), (3, 9 << 18)], "i int, v long")
     assert [r.x for r in rows.select("i", T.human_size(F.col("v")).alias("x")).orderBy("i").collect()] == ["1.2 MB", "1.8 MB", "2.2 MB"]
+
+
+def test_blanks_and_what_nfkc_may_change(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    d = spark.createDataFrame([(c,) for c in every[:0x3100] + every[0x3100::97]], "c string")
+    assert d.where(F.col("c").rlike(T._MAY_CHANGE) != F.col("c").rlike(T.NFKC_MAY_CHANGE)).count() == 0
+    assert {r.c for r in d.where(F.col("c").rlike(T.BLANK)).collect()} == set(T._BLANKS)
+
+
+def test_strip_of_short_and_long_texts(spark):
+    texts = ["", " ", "\u3000\x1c a \u2028 b\x85\n", " \u00a0é ", "\t" + "a " * (1 << 19) + "b\u2003 ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    want = ["", "", "a \u2028 b", "é", "a " * (1 << 19) + "b", None]
+    assert [r.x for r in rows.select("i", T.strip(F.col("v")).alias("x")).orderBy("i").collect()] == want
+
+
+def test_nfkc_gives_back_only_what_it_changes():
+    many = ["½", None, "č", "plain"] * 100
+    assert T._nfkc.func(pa.array(many, pa.string())).to_pylist() == ["1\u20442", None, None, None] * 100
+    assert T._nfkc.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_edge_lines_split_a_page_once(spark):
+    pages = spark.createDataFrame([("d", n, "\n".join(f"l{i}" for i in range(n))) for n in (1, 2, 4, 7)] + [("d", 0, " "), ("d", 9, None)], "doc string, page_no int, text string")
+    found = {(r.page_no, r.line_no, r.line) for r in P.edge_lines(pages).collect()}
+    assert found == {(n, i, f"l{i}") for n in (1, 2, 4, 7) for i in range(n) if i < 3 or i >= n - 3}
+    assert plan(P.edge_lines(pages)).count("split(") == 1
+
+
+def test_strip_by_lines_joins_no_pages(spark):
+    pages = spark.createDataFrame([("d", 1, "head\n7"), ("d", 2, "head\n\nbody"), ("e", 1, "head"), ("e", 2, None)], "doc string, page_no int, text string")
+    keys = spark.createDataFrame([("d", "head"), ("d", "head")], "doc string, key string")
+    out = P.stripped_by_lines(pages, keys)
+    assert {tuple(r) for r in out.collect()} == {("d", 1, ""), ("d", 2, "body"), ("e", 1, "head"), ("e", 2, "")}
+    assert len(re.findall(r"\bJoin\b", plan(out))) == 1
+
+
+def test_runs_read_their_documents_once(spark):
+    for name in ("run_notes", "manifest"):
+        files = run_queries.ALL[name][0](spark, SF).inputFiles()
+        assert files and not any("documents.parquet" in f for f in files)
