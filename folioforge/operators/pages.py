@@ -95,14 +95,18 @@ def stripped(pages: DataFrame, keys: DataFrame, settings: Settings = DEFAULT) ->
 
 
 def stripped_by_lines(pages: DataFrame, keys: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(doc, page_no, text): what stripped() gives, by an anti join of all lines; the twin that tests compare with."""
-    lines = pages.select("doc", "page_no", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("key", T.line_key(T.strip(F.col("line"))))
-    kept = lines.join(keys, ["doc", "key"], "left_anti")
+    """(doc, page_no, text): what stripped() gives, by a join of all lines; the twin that tests compare with.
+
+    Lines that go are nulls and not left out, so that a page without any other line needs no join with the pages."""
+    lines = pages.select("doc", "page_no", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    lines = lines.withColumn("bare", T.strip(F.col("line"))).withColumn("key", T.line_key(F.col("bare")))
+    gone = keys.select("doc", "key").distinct().withColumn("gone", F.lit(True))
+    stays = F.col("gone").isNull()
     if settings.drop_page_numbers:
-        kept = kept.where((T.strip(F.col("line")) == "") | ~T.is_page_number(T.strip(F.col("line"))))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n")
-    joined = kept.groupBy("doc", "page_no").agg(T.strip(T.collapse_newlines(text)).alias("text"))
-    return pages.select("doc", "page_no").join(joined, ["doc", "page_no"], "left").select("doc", "page_no", F.coalesce("text", F.lit("")).alias("text"))
+        stays = (F.col("bare") == "") | (stays & ~T.is_page_number(F.col("bare")))
+    kept = lines.join(gone, ["doc", "key"], "left").select("doc", "page_no", F.when(stays, F.struct("n", "line")).alias("kept"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("kept")), lambda x: x.line), "\n")
+    return kept.groupBy("doc", "page_no").agg(T.strip(T.collapse_newlines(text)).alias("text"))
 
 
 def reduced(pages: DataFrame, settings: Settings = DEFAULT, normaliser=T.nfkc) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import pages as P
 from ..settings import Settings
+from ..staging import staged
 from . import inputs as I
 
 ALL: dict = {}
@@ -98,7 +99,7 @@ def strip_boilerplate(spark, sf_dir):
 
 @query(f"SELECT doc, page_no, md5(text) AS text FROM {I.sql_reduced(I.NUMBERED)}")
 def strip_by_lines(spark, sf_dir):
-    pages = P.cleaned(I.numbered(spark, sf_dir))
+    pages = staged(P.cleaned(I.numbered(spark, sf_dir)), "clean")
     return P.stripped_by_lines(pages, P.boilerplate(pages)).select("doc", "page_no", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
@@ -133,8 +134,15 @@ _LABEL = "concat('p', lpad(CAST(page_no AS VARCHAR), CAST(greatest(3, length(CAS
 _MARKED = f"SELECT *, concat('--- p.', page_no, CASE WHEN page_no % 4 = 0 THEN concat(' | see ', {_LABEL}, '.png') ELSE '' END, CASE WHEN text = '' THEN ' | no text' ELSE '' END, ' ---') AS marker FROM (SELECT doc, page_no, page_count, raw, CASE WHEN page_no % 6 = 0 THEN '' ELSE text END AS text FROM {I.sql_reduced(I.FURNISHED)})"
 
 
-def marked(spark, sf_dir):
-    pages = P.reduced(I.furnished(spark, sf_dir), normaliser=None).withColumn("text", F.when(F.col("page_no") % 6 == 0, "").otherwise(F.col("text")))
+def kept_keys(spark, sf_dir):
+    """The furnished pages, cleaned, and their running lines, each as a table: for queries that need the lines as well."""
+    clean = staged(P.cleaned(I.furnished(spark, sf_dir), normaliser=None), "clean")
+    return clean, staged(P.boilerplate(clean), "keys")
+
+
+def marked(spark, sf_dir, reduced=None):
+    reduced = P.reduced(I.furnished(spark, sf_dir), normaliser=None) if reduced is None else reduced
+    pages = reduced.withColumn("text", F.when(F.col("page_no") % 6 == 0, "").otherwise(F.col("text")))
     return P.marked(I.facts(pages))
 
 
