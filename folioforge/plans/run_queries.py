@@ -12,7 +12,7 @@ from ..schemas import PAGE_LAYOUT
 from ..settings import MODES, Settings
 from ..sources import sinks
 from . import inputs as I
-from .page_queries import _LABEL, _MARKED, marked
+from .page_queries import _LABEL, _MARKED, kept_keys, marked
 from .reduce import reduce_bodies as run_bodies
 from .reduce import reduce_pages
 
@@ -61,10 +61,6 @@ def needs_ocr_remaining(spark, sf_dir):
     return R.doc_results(marked(spark, sf_dir)).select("doc", "ocr_remaining")
 
 
-def _keys(spark, sf_dir):
-    return P.boilerplate(P.cleaned(I.furnished(spark, sf_dir), normaliser=None))
-
-
 _KEYS = I.sql_boilerplate(I.sql_cleaned(I.FURNISHED))
 _WARNING = "CASE WHEN needs_ocr THEN concat(scanned_pages, ' of ', pages, ' pages are pictures without text; recognise them to read them.') END"
 
@@ -77,7 +73,8 @@ _WARNING = "CASE WHEN needs_ocr THEN concat(scanned_pages, ' of ', pages, ' page
  CASE WHEN needs_ocr THEN concat(chr(10), 'warnings:', chr(10), '  - ', {_WARNING}) END), chr(10)) AS manifest
  FROM ({_RESULTS}) r LEFT JOIN (SELECT doc, string_agg(concat('  - ', key), chr(10) ORDER BY key) AS keys FROM {_KEYS} GROUP BY doc) k ON r.doc = k.doc""")
 def manifest(spark, sf_dir):
-    return R.manifest(R.doc_results(marked(spark, sf_dir)), _keys(spark, sf_dir), Settings(extract_tables=True))
+    clean, keys = kept_keys(spark, sf_dir)
+    return R.manifest(R.doc_results(marked(spark, sf_dir, P.stripped(clean, keys))), keys, Settings(extract_tables=True))
 
 
 @query(f"""SELECT doc, ok, message, pages, images_saved AS images, needs_ocr, tokens_out, list_count(scans) AS scans, scans[1] AS first_scan FROM ({_RESULTS}) r LEFT JOIN
@@ -94,8 +91,9 @@ def report_json(spark, sf_dir):
 @query(f"""SELECT n.doc, n.page_no, n.chars, k.keys, r.chars_in, r.scanned_pages AS scanned FROM (SELECT doc, page_no, length(text) AS chars FROM ({_FACTS})) n JOIN ({_RESULTS}) r ON n.doc = r.doc
  LEFT JOIN (SELECT doc, string_agg(key, '+' ORDER BY key) AS keys FROM {_KEYS} GROUP BY doc) k ON n.doc = k.doc""")
 def run_notes(spark, sf_dir):
-    pages = marked(spark, sf_dir)
-    notes = R.run_notes(R.doc_results(pages), R.page_stats(pages), _keys(spark, sf_dir))
+    clean, keys = kept_keys(spark, sf_dir)
+    pages = marked(spark, sf_dir, P.stripped(clean, keys))
+    notes = R.run_notes(R.doc_results(pages), R.page_stats(pages), keys)
     return notes.select("doc", F.explode("chars").alias("page_no", "chars"), F.array_join("boilerplate", "+").alias("keys"), "chars_in", "scanned")
 
 
@@ -114,8 +112,9 @@ _NEW = I.sql_stripped(f"SELECT doc, page_no, 0 AS page_count, text AS raw, {I.sq
 
 @query(f"SELECT f.doc, f.page_no, md5(CASE WHEN n.text <> '' THEN n.text ELSE f.text END) AS text, coalesce(n.text <> '', FALSE) AS ocr FROM {I.sql_reduced(I.FURNISHED)} f LEFT JOIN {_NEW} n ON f.doc = n.doc AND f.page_no = n.page_no")
 def ocr_fold_in(spark, sf_dir):
-    finished = P.reduced(I.furnished(spark, sf_dir), normaliser=None).select("doc", "page_no", "text", F.lit(False).alias("ocr"))
-    done = L.fold_in(finished, _keys(spark, sf_dir), I.supplied(spark, sf_dir), normaliser=None)
+    clean, keys = kept_keys(spark, sf_dir)
+    finished = P.stripped(clean, keys).select("doc", "page_no", "text", F.lit(False).alias("ocr"))
+    done = L.fold_in(finished, keys, I.supplied(spark, sf_dir), normaliser=None)
     return done.select("doc", "page_no", F.md5(F.col("text").cast("binary")).alias("text"), "ocr")
 
 
