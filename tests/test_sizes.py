@@ -1,5 +1,6 @@
 """What larger tables brought up: each of these failed, or cost far more, before."""
 
+import random
 import re
 
 import pyarrow as pa
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import pages as P
+from folioforge.operators import regions as R
 from folioforge.plans import page_queries, run_queries
+from folioforge.settings import Settings
 
 
 def plan(df):
@@ -66,3 +69,31 @@ def test_runs_read_their_documents_once(spark):
     for name in ("run_notes", "manifest"):
         files = run_queries.ALL[name][0](spark, SF).inputFiles()
         assert files and not any("documents.parquet" in f for f in files)
+
+
+def test_regions_of_pages_together_are_those_of_each():
+    rng = random.Random(3)
+    texts = ["12 %", "a b c d e f g", "one\n\n two words", "", None, "x\n y z\nlong line of many words here"]
+
+    def rect(w, h, far=30.0):
+        x, y = rng.uniform(-far, w), rng.uniform(-far, h)
+        return {"x0": x, "y0": y, "x1": x + rng.uniform(-2, w / 3), "y1": y + rng.uniform(-2, h / 3)}
+
+    rows = [{"page_rect": None, "boxes": None, "blocks": None, "tables": None}]
+    for i in range(1500):
+        w, h = rng.choice([(240.0, 280.0), (600.0, 840.0), (7.0, 900.0), (0.0, 10.0)])
+        n = 50 if i % 300 == 0 else rng.randrange(9)
+        boxes = [rect(w, h) for _ in range(n)] if i % 7 else [{k: float(round(v / 10) * 10) for k, v in rect(w, h).items()} for _ in range(n)]
+        x, y = rng.choice([(0.0, 0.0), (3.5, -7.25)])
+        rows.append({"page_rect": {"x0": x, "y0": y, "x1": x + w, "y1": y + h}, "boxes": boxes, "blocks": [rect(w, h) | {"text": rng.choice(texts)} for _ in range(rng.randrange(6))], "tables": [rect(w, h) for _ in range(rng.randrange(2))] if i % 5 else None})
+    side = pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
+    block = pa.struct([*side, ("text", pa.string())])
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("page_rect", side), ("boxes", pa.list_(side)), ("blocks", pa.list_(block)), ("tables", pa.list_(side))]))
+    corners = lambda a: [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in a or ()]
+    s = Settings(chart_regions=True, chart_min_paths=1)
+    for part in (batch, batch.slice(700, 400), batch.slice(0, 0)):
+        want = [R.regions_of(*corners([r["page_rect"]]), corners(r["boxes"])) if r["page_rect"] else [] for r in part.to_pylist()]
+        assert [corners(x) for x in R.figures_of(part, None).to_pylist()] == want
+        want = [R.charts_of(*corners([r["page_rect"]]), corners(r["boxes"]), list(zip(corners(r["blocks"]), [b["text"] for b in r["blocks"]])), corners(r["tables"]), s) if r["page_rect"] else [] for r in part.to_pylist()]
+        assert [corners(x) for x in R.figures_of(part, s).to_pylist()] == want
+        assert part.num_rows < 9 or sum(map(len, want)) > 20
