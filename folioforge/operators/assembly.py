@@ -30,14 +30,17 @@ def assembled(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     marker = lambda i: F.concat(F.lit("\n[figure: "), label, F.lit("_f"), (i + 1).cast("string"), F.lit(".png]\n"))
     p = pages.withColumn("_good", good).withColumn("_grids", F.transform("_good", lambda t: grids.fenced(grids.markdown_grid(t.rows))))
     blocks = F.filter(F.coalesce("blocks", F.array()), lambda b: T.strip(F.coalesce(b.text, F.lit(""))) != "")
-    seen = F.transform(blocks, lambda b: F.struct(b.text.alias("text"), first_holding(F.col("figures"), b).alias("figure"), first_holding(F.col("_good"), b).alias("grid"), (T.words_per_line(b.text) > settings.chart_max_words_per_line).alias("sentences")))
-    as_text = lambda b: F.when(b.figure >= 0, b.sentences).otherwise(b.grid < 0)
-    target = lambda b: F.when(as_text(b), F.lit("")).when(b.figure >= 0, F.concat(F.lit("f"), b.figure.cast("string"))).otherwise(F.concat(F.lit("g"), b.grid.cast("string")))
-    p = p.withColumn("_seen", seen).withColumn("_targets", F.transform("_seen", target))
+    sentences = lambda b: T.words_per_line(b.text) > settings.chart_max_words_per_line
+    held = F.transform(blocks, lambda b: F.struct(b.text.alias("text"), first_holding(F.col("figures"), b).alias("figure"), first_holding(F.col("_good"), b).alias("grid")))
+    as_text = lambda b: F.when(b.figure >= 0, sentences(b)).otherwise(b.grid < 0)
+    name = lambda b: F.when(b.figure >= 0, F.concat(F.lit("f"), b.figure.cast("string"))).otherwise(F.concat(F.lit("g"), b.grid.cast("string")))
+    target = lambda b: F.when(as_text(b), F.lit("")).otherwise(name(b))
+    seen = F.transform(held, lambda b: F.struct(b.text.alias("text"), b.figure.alias("figure"), b.grid.alias("grid"), target(b).alias("target")))
+    p = p.withColumn("_seen", seen).withColumn("_targets", F.col("_seen.target"))
 
     def part(b: Column, i: Column) -> Column:
-        first = F.array_position("_targets", target(b)) == i + 1
-        return F.when(as_text(b), b.text).when(first & (b.figure >= 0), marker(b.figure)).when(first, F.element_at("_grids", b.grid + 1))
+        placed = F.when(b.figure >= 0, marker(b.figure)).otherwise(F.element_at("_grids", b.grid + 1))
+        return F.when(b.target == "", b.text).when(F.array_position("_targets", b.target) == i + 1, placed)
 
     rest_grids = F.transform("_grids", lambda g, i: F.when(~F.array_contains("_targets", F.concat(F.lit("g"), i.cast("string"))), g))
     rest_figures = F.transform("figures", lambda f, i: F.when(~F.array_contains("_targets", F.concat(F.lit("f"), i.cast("string"))), marker(i)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import bound, strip
 from ..settings import DEFAULT, Settings
 
 
@@ -32,10 +32,12 @@ def thin_columns(rows: Column) -> Column:
 
 def is_table(rows: Column, settings: Settings = DEFAULT) -> Column:
     """A table, or a box of prose: two rows and columns, short cells, columns that mostly carry something."""
-    lengths = filled_lengths(rows)
-    mean = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(lengths)
+    def short(lengths: Column) -> Column:
+        mean = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(lengths)
+        return (F.size(lengths) > 0) & (mean <= settings.table_max_mean_cell) & (F.array_max(lengths) <= settings.table_max_cell)
+
     shape = (F.size(rows) >= 2) & (width(rows) >= 2)
-    cells = (F.size(lengths) > 0) & (mean <= settings.table_max_mean_cell) & (F.array_max(lengths) <= settings.table_max_cell)
+    cells = bound(filled_lengths(rows), short)
     return F.when(~F.coalesce(shape, F.lit(False)), F.lit(False)).when(~F.coalesce(cells, F.lit(False)), F.lit(False)).otherwise(thin_columns(rows) / width(rows) < settings.table_max_thin_columns)
 
 
@@ -49,15 +51,22 @@ def escape_cell(cell: Column) -> Column:
 
 def markdown_grid(rows: Column) -> Column:
     """A markdown table; the first row is its head, unless it is blank: then columns are numbered and all rows stay."""
-    n = width(rows)
     line = lambda cells: F.concat(F.lit("|"), F.array_join(F.transform(cells, escape_cell), "|"), F.lit("|"))
-    padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), n - F.size(r))))
-    has_head = F.exists(F.element_at(rows, 1), lambda c: strip(F.coalesce(c, F.lit(""))) != "")
-    numbered = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("Col"), i.cast("string")))
-    head = F.when(has_head, F.element_at(padded, 1)).otherwise(numbered)
-    rest = F.when(has_head, F.slice(padded, F.lit(2), F.greatest(F.lit(0), F.size(padded) - 1))).otherwise(padded)
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), n), "|"), F.lit("|"))
-    return F.array_join(F.concat(F.array(line(head), rule), F.transform(rest, line)), "\n")
+
+    def made(n: Column) -> Column:
+        pad = lambda r: F.concat(r, F.array_repeat(F.lit(""), n - F.size(r)))
+        has_head = F.exists(F.element_at(rows, 1), lambda c: strip(F.coalesce(c, F.lit(""))) != "")
+        numbered = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("Col"), i.cast("string")))
+        rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), n), "|"), F.lit("|"))
+
+        def joined(head: Column) -> Column:
+            body = F.when(head, F.slice(rows, F.lit(2), F.greatest(F.lit(0), F.size(rows) - 1))).otherwise(rows)
+            first = F.when(head, pad(F.element_at(rows, 1))).otherwise(numbered)
+            return F.array_join(F.concat(F.array(line(first), rule), F.transform(body, lambda r: line(pad(r)))), "\n")
+
+        return bound(has_head, joined)
+
+    return bound(width(rows), made)
 
 
 def fenced(grid: Column) -> Column:
