@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,22 @@ from ..functions import text as T
 from ..settings import COVERAGE_GRID, DEFAULT, Settings
 
 
-def covered(box: Column, page: Column, settings: Settings = DEFAULT) -> tuple[Column, Column, Column]:
-    """The rows of the grid over the page that the box covers (an array), its first and its last column, edges included;
-    no rows if the box is too small."""
+def covered_range(box: Column, page: Column, settings: Settings = DEFAULT) -> tuple[Column, Column, Column, Column, Column]:
+    """Whether the box is large enough to count, and its first and last row and first and last column on the grid over
+    the page, edges included."""
     b, grid = G.clip(box, page), float(COVERAGE_GRID)
     width, height = page.x1 - page.x0, page.y1 - page.y0
     at = lambda v, low, size: F.least(F.lit(COVERAGE_GRID - 1), F.greatest(F.lit(0), ((v - low) / size * grid).cast("int")))
     small = G.is_empty(b) | (G.area(b) / (width * height) < settings.min_image_fraction)
-    rows = F.when(~G.is_empty(page) & ~small, F.sequence(at(b.y0, page.y0, height), at(b.y1, page.y0, height))).otherwise(F.array().cast("array<int>"))
-    return rows, at(b.x0, page.x0, width), at(b.x1, page.x0, width)
+    return ~G.is_empty(page) & ~small, at(b.y0, page.y0, height), at(b.y1, page.y0, height), at(b.x0, page.x0, width), at(b.x1, page.x0, width)
+
+
+def covered(box: Column, page: Column, settings: Settings = DEFAULT) -> tuple[Column, Column, Column]:
+    """The rows of the grid over the page that the box covers (an array), its first and its last column, edges included;
+    no rows if the box is too small."""
+    counts, top, bottom, first, last = covered_range(box, page, settings)
+    rows = F.when(counts, F.sequence(top, bottom)).otherwise(F.array().cast("array<int>"))
+    return rows, first, last
 
 
 def coverage_cells(box: Column, page: Column, settings: Settings = DEFAULT) -> Column:
@@ -34,13 +43,17 @@ def coverage(images: Column, page: Column, settings: Settings = DEFAULT) -> Colu
 
 
 def coverage_of_boxes(boxes: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
-    """Coverage by page of boxes in rows (keys, box, page_rect). A box gives a bitmap of columns for each row of the grid;
-    these are united before the shuffle, so that a page sends 32 rows at most from each task."""
-    rows, first, last = covered(F.col("box"), F.col("page_rect"), settings)
-    columns = F.expr("shiftleft(2L, _last) - shiftleft(1L, _first)")
-    each = boxes.select(*keys, first.alias("_first"), last.alias("_last"), F.explode(rows).alias("_row")).select(*keys, "_row", columns.alias("_columns"))
-    united = each.groupBy(*keys, "_row").agg(F.bit_or("_columns").alias("_columns"))
-    return united.groupBy(*keys).agg((F.sum(F.bit_count("_columns")) / F.lit(float(COVERAGE_GRID**2))).alias("coverage"))
+    """Coverage by page of boxes in rows (keys, box, page_rect). The grid is a bitmap in a few words, as many rows of the
+    grid as fit in each; boxes are united before the one shuffle, so that a page sends one row from each task."""
+    names = ["_counts", "_top", "_bottom", "_first", "_last"]
+    held = 64 // COVERAGE_GRID
+    placed = boxes.select(*keys, *(c.alias(n) for c, n in zip(covered_range(F.col("box"), F.col("page_rect"), settings), names, strict=True))).where("_counts")
+    placed = placed.withColumn("_columns", F.expr("shiftleft(2L, _last) - shiftleft(1L, _first)"))
+    on = lambda row: F.when(F.lit(row).between(F.col("_top"), F.col("_bottom")), F.shiftleft("_columns", row % held * COVERAGE_GRID)).otherwise(F.lit(0).cast("long"))
+    words = [reduce(Column.bitwiseOR, map(on, range(r, r + held))) for r in range(0, COVERAGE_GRID, held)]
+    united = placed.groupBy(*keys).agg(*(F.bit_or(w).alias(f"_w{i}") for i, w in enumerate(words)))
+    filled = reduce(Column.__add__, (F.bit_count(f"_w{i}") for i in range(len(words))))
+    return united.select(*keys, (filled / F.lit(float(COVERAGE_GRID**2))).alias("coverage"))
 
 
 def line_like(drawings: Column) -> Column:

@@ -8,6 +8,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
+from folioforge.operators import grids, layout
 from folioforge.operators import pages as P
 from folioforge.operators import regions as R
 from folioforge.plans import page_queries, run_queries
@@ -97,3 +98,22 @@ def test_regions_of_pages_together_are_those_of_each():
         want = [R.charts_of(*corners([r["page_rect"]]), corners(r["boxes"]), list(zip(corners(r["blocks"]), [b["text"] for b in r["blocks"]])), corners(r["tables"]), s) if r["page_rect"] else [] for r in part.to_pylist()]
         assert [corners(x) for x in R.figures_of(part, s).to_pylist()] == want
         assert part.num_rows < 9 or sum(map(len, want)) > 20
+
+
+def test_parts_of_a_page_are_computed_once(spark):
+    texts = spark.createDataFrame([("a b\nc",)], "v string").select(T.words_per_line(F.col("v")).alias("x"))
+    assert texts.first().x == 1.5 and plan(texts).count("split(") == 2  # the lines of the text, the words of a line
+    rows = spark.createDataFrame([([["a", None], ["|", "c", "d"]],), ([[" "], ["x"]],)], "rows array<array<string>>")
+    grid = rows.select(grids.markdown_grid(F.col("rows")).alias("x"))
+    assert [r.x for r in grid.collect()] == ["|a|||\n|---|---|---|\n|\\||c|d|", "|Col1|\n|---|\n| |\n|x|"]
+    assert plan(grid).count("array_max") == 1
+
+
+def test_coverage_is_one_shuffle(spark):
+    rect = "struct<x0:double,y0:double,x1:double,y1:double>"
+    page, full, half, dot = (0.0, 0.0, 320.0, 320.0), (0.0, 0.0, 320.0, 320.0), (0.0, 0.0, 320.0, 155.0), (0.0, 0.0, 1.0, 1.0)
+    corner = (315.0, -5.0, 400.0, 319.0)
+    rows = [(1, full, page), (1, half, page), (2, half, page), (2, corner, page), (3, dot, page), (4, full, None), (5, full, (5.0, 5.0, 5.0, 9.0)), (None, half, page)]
+    out = layout.coverage_of_boxes(spark.createDataFrame(rows, f"page_id long, box {rect}, page_rect {rect}"), ["page_id"])
+    assert {tuple(r) for r in out.collect()} == {(1, 1.0), (2, 0.515625), (None, 0.5)}
+    assert len(re.findall(r"\bAggregate\b", plan(out))) == 1
