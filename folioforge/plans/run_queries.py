@@ -179,7 +179,7 @@ def output_folders(spark, sf_dir):
 @query("SELECT lang, md5(string_agg(text, chr(10) || chr(10) ORDER BY source, lpad(CAST(doc_id AS VARCHAR), 9, '0'))) AS text FROM documents GROUP BY lang")
 def joined_text(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents").select("lang", F.col("source").alias("folder"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.col("text").alias("markdown"))
-    return sinks.joined_text(d, "lang").select("lang", F.md5(F.col("text").cast("binary")).alias("text"))
+    return sinks.joined_digests(d, "lang")
 
 
 _SAID = ["AdapterMissing: none", "BadZipFile: File is not a zip file", "ValueError: needs a Password", "PATH_NOT_FOUND", "ExecutorLostFailure", "something else"]

@@ -1,5 +1,6 @@
 """What larger tables brought up: each of these failed, or cost far more, before."""
 
+import hashlib
 import random
 import re
 
@@ -13,6 +14,7 @@ from folioforge.operators import pages as P
 from folioforge.operators import regions as R
 from folioforge.plans import page_queries, run_queries
 from folioforge.settings import Settings
+from folioforge.sources import sinks
 
 
 def plan(df):
@@ -117,3 +119,16 @@ def test_coverage_is_one_shuffle(spark):
     out = layout.coverage_of_boxes(spark.createDataFrame(rows, f"page_id long, box {rect}, page_rect {rect}"), ["page_id"])
     assert {tuple(r) for r in out.collect()} == {(1, 1.0), (2, 0.515625), (None, 0.5)}
     assert len(re.findall(r"\bAggregate\b", plan(out))) == 1
+
+
+def test_digests_of_joined_texts_by_pieces(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", "de", None, "é"]), f"f{rng.randrange(3)}", f"{i:04d}", rng.choice([None, "", "é" * rng.randrange(90), "text " * rng.randrange(40)])) for i in range(300)]
+    rows += [("one", None, "1", "alone"), ("none", "f", "2", None), ("none", "f", "3", None)]
+    docs = spark.createDataFrame(rows, "lang string, folder string, name string, markdown string")
+    want = {}
+    for lang, folder, name, text in sorted(rows, key=lambda r: (r[1] or "", r[2])):
+        want.setdefault(lang, []).extend([] if text is None else [text])
+    want = {k: hashlib.md5("\n\n".join(v).encode()).hexdigest() for k, v in want.items()}
+    for piece in (1 << 30, 3000, 700):
+        assert {r.lang: r.text for r in sinks.joined_digests(docs, "lang", piece=piece).collect()} == want
